@@ -62,6 +62,7 @@ class Settings:
     class_weighting: bool = True
     tuning_enabled: bool = True
     max_candidates: int = 8
+    max_trees: int | None = None  # upper bound on the trees of every candidate
     review_capacity: float = 0.10
     threshold_version: str = "threshold_v1"
     thresholds: dict = field(default_factory=dict)
