@@ -1,7 +1,8 @@
 """Splits, metrics, policy, scoring and explanations on a closed-form risk score.
 
 The score is a fixed logistic expression over mart columns, so that every table has a SQL
-twin. ``fine`` keeps six decimals, ``coarse`` two, which makes heavy ties.
+twin. ``fine`` is rounded to 20 binary digits, ``coarse`` to 6, which makes heavy ties. Sums
+of such numbers are exact, whatever the order of addition.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ def r6(value: Column) -> Column:
     return F.floor(value * 1e6 + 0.5) / F.lit(1e6)
 
 
+def dyadic(value: Column, digits: int = 20) -> Column:
+    return F.floor(value * float(1 << digits) + 0.5) / F.lit(float(1 << digits))
+
+
 def terms() -> list[tuple[str, Column]]:
     """Labelled additive parts of the margin."""
     lateness = F.coalesce(ratio("late_payment_count", "installment_payment_count") - 0.5, F.lit(0.0))
@@ -55,11 +60,11 @@ def terms() -> list[tuple[str, Column]]:
 
 
 def fine_score() -> Column:
-    return r6(sigmoid(F.lit(-2.4) + reduce(Column.__add__, (t for _, t in terms()))))
+    return dyadic(sigmoid(F.lit(-2.4) + reduce(Column.__add__, (t for _, t in terms()))))
 
 
 def coarse_score(fine: Column) -> Column:
-    return F.floor(fine * 100 + 0.5) / F.lit(100.0)
+    return dyadic(fine, 6)
 
 
 def scored_mart(t: FeatureTables) -> DataFrame:
@@ -287,7 +292,7 @@ def confusion_matrix(spark, sf_dir):
 
 
 def calibrated(fine: Column) -> Column:
-    return r6(sigmoid(F.lit(PLATT[0]) + F.lit(PLATT[1]) * logit(fine)))
+    return dyadic(sigmoid(F.lit(PLATT[0]) + F.lit(PLATT[1]) * logit(fine)))
 
 
 def platt_apply(spark, sf_dir):
@@ -363,7 +368,7 @@ def contributions(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
     parts = terms()
     rows = joined.select(
         "applicant_id", "scoring_population", "model_version", "threshold_version",
-        F.array(*[r6(t) for _, t in parts]).alias("contributions"),
+        F.array(*[dyadic(t) for _, t in parts]).alias("contributions"),
     )
     return scores, store(rows, "contributions").frame, [label for label, _ in parts]
 
