@@ -102,3 +102,45 @@ def staging_frames(spark):
         staging_name(name): spark.createDataFrame(rows, SOURCES[name])
         for name, rows in ROWS.items()
     }
+
+
+def synthetic_mart(spark, train=80, test=12):
+    """A small mart whose columns are formulas of the row index."""
+    rows = []
+    for i in range(train + test):
+        labeled = i < train
+        rows.append((
+            100000 + i if labeled else 200000 + i - train,
+            "application_train" if labeled else "application_test",
+            i % 2 if labeled else None,
+            1 + i / 100, i % 5 + 1, i % 6 + 1, (i % 4) / 10, (i % 3) / 10, i % 8 + 1,
+            (i % 5) / 10, (i % 4) / 10, i % 7 + 1, (i % 6) / 10, (i % 4) / 10,
+            0.75 + (i % 7) / 20, i % 3 + 1, ("low", "medium", "high")[i % 3],
+            None if i % 6 == 0 else i / 10,
+        ))
+    return spark.createDataFrame(
+        rows,
+        "SK_ID_CURR long, source_population string, TARGET long, credit_to_income_ratio double, "
+        "bureau_credit_count long, bureau_balance_month_count long, "
+        "bureau_balance_dpd_1plus_rate double, bureau_balance_recent_dpd_1plus_rate double, "
+        "pos_cash_month_count long, pos_cash_dpd_month_rate double, "
+        "pos_cash_recent_dpd_month_rate double, credit_card_month_count long, "
+        "credit_card_avg_credit_utilization double, credit_card_dpd_month_rate double, "
+        "payment_amount_ratio double, previous_application_count long, "
+        "category_feature string, optional_numeric_feature double",
+    )
+
+
+def synthetic_diagnostics(spark, train=80, test=12):
+    rows = [
+        (100000 + i if i < train else 200000 + i - train,
+         "application_train" if i < train else "application_test",
+         i % 2 if i < train else None, "FM"[i % 2], "Married", 40, "30_to_44", 1, 2.0)
+        for i in range(train + test)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "SK_ID_CURR long, source_population string, TARGET long, CODE_GENDER string, "
+        "NAME_FAMILY_STATUS string, applicant_age_years long, applicant_age_band string, "
+        "CNT_CHILDREN long, CNT_FAM_MEMBERS double",
+    )
