@@ -44,7 +44,7 @@ from creditweave.sources.reports import (
 from creditweave.sources.staging import timestamp_text
 from creditweave.sources.workspace import Stored, store
 
-REPORTED = F.col("split") != "train"
+REPORTED = "split <> 'train'"
 
 
 def artifact_rows(mart: DataFrame, artifact: ModelArtifact) -> DataFrame:
@@ -93,7 +93,7 @@ def run_evaluation(
     recomputed = comparison(measured, BASELINE_VERSION, TREES_VERSION).first()["selected_model_type"]
     contracts.selected_model_type(saved_comparison, recomputed)
     version = TREES_VERSION if recomputed == TREES_TYPE else BASELINE_VERSION
-    chosen = store(kept.frame.where((F.col("model_version") == version) & REPORTED), "reported")
+    chosen = store(kept.frame.where(F.col("model_version") == version).where(REPORTED), "reported")
     validation = store(chosen.frame.where("split = 'validation'"), "validation")
     pairs = policy.scenario_thresholds(validation, settings.thresholds)
     tables = {
