@@ -10,7 +10,11 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from creditweave.operators.encoding import FEATURES, Encoder, fit_encoder
 from creditweave.operators.reasons import linear_contributions
 from creditweave.settings import Settings
-from creditweave.sources.workspace import Stored, shared_folder, store
+from creditweave.sources.workspace import Stored, new_path, shared_folder, store
 
 # The ordered candidate presets. "-" keeps the base value; depth -1 means that
 # only the number of leaves limits a tree; "weight" multiplies the class weight.
@@ -119,7 +123,11 @@ def fit_logistic(
         maxIter=1000,
         tol=1e-8,
     )
-    model = learner.fit(rows)
+    # A model that was just fitted drags its training summary, and with it the session, into
+    # every task; a saved and loaded one holds only its coefficients.
+    path = new_path(train.frame.sparkSession, "logistic")
+    learner.fit(rows).write().save(path)
+    model = LogisticRegressionModel.load(path)
     return FittedModel(PipelineModel([*stages.stages, model]), encoder, tuple(features))
 
 

@@ -36,11 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/creditweave/{app}/{label}-{uuid.uuid4().hex}"
+
+
 def store(frame: DataFrame, label: str = "stage", by: str | None = None) -> Stored:
     """Write a frame once and continue from the written copy."""
     spark = frame.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/creditweave/{app}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     counter = Observation()
     writer = frame.observe(counter, F.count(F.lit(1)).alias("rows")).write
     (writer.partitionBy(by) if by else writer).parquet(path)
