@@ -160,7 +160,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY applicant_id, scoring_population
 }
 
 
-def _q(select: str, *more: dict[str, str]) -> str:
+def named(select: str, *more: dict[str, str]) -> str:
     known = dict(_CTES)
     for part in more:
         known |= part
@@ -208,7 +208,7 @@ def _inventory() -> str:
     return " UNION ALL ".join(parts)
 
 
-_KINDS = {
+KINDS = {
     **{c: "string" for c in ("source_population", "NAME_CONTRACT_TYPE", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_INCOME_TYPE",
                              "NAME_EDUCATION_TYPE", "NAME_HOUSING_TYPE", "OCCUPATION_TYPE", "ORGANIZATION_TYPE")},
     "ext_source_missing_count": "int",
@@ -219,7 +219,7 @@ def _column_inventory() -> str:
     groups = Settings().exclusion_groups()
     parts = []
     for name in ["SK_ID_CURR", "source_population", "TARGET", *V1]:
-        kind = _KINDS.get(name) or ("double" if V1.get(name, ("", False))[1] else "bigint")
+        kind = KINDS.get(name) or ("double" if V1.get(name, ("", False))[1] else "bigint")
         group = groups.get(name, "")
         parts.append(f"""SELECT 'mart_credit_risk_features' AS table_name, '{name}' AS column_name, '{kind}' AS column_type,
   {str(not group).lower()} AS is_model_feature, '{group}' AS exclusion_group, count(*) - count({name}) AS missing_count,
@@ -376,6 +376,15 @@ FROM (SELECT {G}, i, count(*) AS applicant_count, avg(probability) AS average_sc
   FROM (SELECT *, decile AS i FROM deciles) GROUP BY {G}, i)"""
 
 
+def segment_count_sql() -> str:
+    """How many (model, split, dimension, value) rows the segment table has."""
+    counts = " + ".join(
+        f"(SELECT count(*) FROM (SELECT DISTINCT split, {c} FROM split_scores JOIN f_diagnostics USING (SK_ID_CURR) WHERE split <> 'train'))"
+        for c in SEGMENT_DIMENSIONS
+    )
+    return f"2 * ({counts})"
+
+
 _BAND = {"approve": ("low_risk", "approve"), "manual_review": ("medium_risk", "manual_review"), "high_risk": ("high_risk", "high_priority_review")}
 
 
@@ -396,66 +405,66 @@ def model_oracles() -> dict[str, str]:
     curve = f"""SELECT {G}, {round6("probability")} AS threshold, {{columns}} FROM (SELECT *,
   sum(hits) OVER (PARTITION BY {G}) AS pos, sum(here - hits) OVER (PARTITION BY {G}) AS neg FROM bundle_scores)"""
     return {
-        "table_profile": _q(" UNION ALL ".join(profiles)),
-        "data_inventory": _q(_inventory()),
-        "column_inventory": _q(_column_inventory()),
-        "grain_duplicates": _q("SELECT SK_ID_PREV, NUM_INSTALMENT_NUMBER, count(*) AS n FROM stg_installments_payments GROUP BY ALL HAVING count(*) > 1"),
-        "contract_violations": _q(_VIOLATIONS, _DAMAGED),
+        "table_profile": named(" UNION ALL ".join(profiles)),
+        "data_inventory": named(_inventory()),
+        "column_inventory": named(_column_inventory()),
+        "grain_duplicates": named("SELECT SK_ID_PREV, NUM_INSTALMENT_NUMBER, count(*) AS n FROM stg_installments_payments GROUP BY ALL HAVING count(*) > 1"),
+        "contract_violations": named(_VIOLATIONS, _DAMAGED),
         "contract_clean": 'SELECT CAST(NULL AS VARCHAR) AS "check", CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS BIGINT) AS n WHERE false',
-        "reconciliation": _q("SELECT * FROM recon", _DAMAGED),
-        "anti_missing_ids": _q("SELECT DISTINCT SK_ID_CURR FROM f_applicant WHERE SK_ID_CURR NOT IN (SELECT SK_ID_CURR FROM stg_pos_cash_balance)"),
-        "stratified_split": _q("SELECT * FROM splits"),
-        "split_summary": _q(f"""SELECT '{FINE}' AS model_version, 'run' AS run_id, split, count(*) AS row_count,
+        "reconciliation": named("SELECT * FROM recon", _DAMAGED),
+        "anti_missing_ids": named("SELECT DISTINCT SK_ID_CURR FROM f_applicant WHERE SK_ID_CURR NOT IN (SELECT SK_ID_CURR FROM stg_pos_cash_balance)"),
+        "stratified_split": named("SELECT * FROM splits"),
+        "split_summary": named(f"""SELECT '{FINE}' AS model_version, 'run' AS run_id, split, count(*) AS row_count,
   CAST(sum(TARGET) AS BIGINT) AS positive_count, CAST(count(*) - sum(TARGET) AS BIGINT) AS negative_count,
   {round6("sum(TARGET) / count(*)")} AS positive_rate, '{NOW}' AS created_at FROM splits GROUP BY split"""),
-        "split_rows": _q(f"""SELECT m.SK_ID_CURR, m.TARGET, split, {round6("ext_source_mean")} AS ext_source_mean,
+        "split_rows": named(f"""SELECT m.SK_ID_CURR, m.TARGET, split, {round6("ext_source_mean")} AS ext_source_mean,
   {round6("credit_to_income_ratio")} AS credit_to_income_ratio, late_payment_count, installment_payment_count, active_credit_count,
   CODE_GENDER, NAME_FAMILY_STATUS, applicant_age_band, CNT_CHILDREN, {round6("CNT_FAM_MEMBERS")} AS CNT_FAM_MEMBERS
 FROM mart_v1 m JOIN splits s USING (SK_ID_CURR) JOIN f_diagnostics d ON d.SK_ID_CURR = m.SK_ID_CURR AND d.source_population = m.source_population"""),
-        "score_bands": _q(f"""SELECT {G}, SK_ID_CURR, probability, band, CASE band {" ".join(f"WHEN '{b}' THEN '{v[0]}'" for b, v in _BAND.items())} END AS risk_band,
+        "score_bands": named(f"""SELECT {G}, SK_ID_CURR, probability, band, CASE band {" ".join(f"WHEN '{b}' THEN '{v[0]}'" for b, v in _BAND.items())} END AS risk_band,
   CASE band {" ".join(f"WHEN '{b}' THEN '{v[1]}'" for b, v in _BAND.items())} END AS recommended_action
 FROM (SELECT *, CASE WHEN probability < threshold_low THEN 'approve' WHEN probability < threshold_high THEN 'manual_review' ELSE 'high_risk' END AS band FROM predictions, balanced_pair)"""),
-        "score_decile": _q("SELECT * FROM deciles", deciles),
-        "lift_by_decile": _q(_lift(), deciles),
-        "calibration_bins": _q(f"""SELECT {G}, bin_id, applicant_count, {round6("average_predicted_score")} AS average_predicted_score,
+        "score_decile": named("SELECT * FROM deciles", deciles),
+        "lift_by_decile": named(_lift(), deciles),
+        "calibration_bins": named(f"""SELECT {G}, bin_id, applicant_count, {round6("average_predicted_score")} AS average_predicted_score,
   {round6("observed_default_rate")} AS observed_default_rate, {round6("calibration_error")} AS calibration_error FROM bins""", bins),
-        "bin_error_summary": _q(_wide("bin_errors", *compared_columns[-3:]), bins),
-        "roc_auc": _q(_wide("bundle", "roc_auc"), pb),
-        "average_precision": _q(_wide("bundle", "pr_auc"), pb),
-        "brier_minmax": _q(_wide("bundle", *bundle_names), pb),
-        "precision_recall_at_rate": _q(_rates(), pb),
-        "metric_bundle": _q(_long(), pb),
-        "labels_metrics": _q(_long(), documents),
-        "roc_points": _q(curve.format(columns=f"{round6('(seen - tp) / NULLIF(neg, 0)')} AS false_positive_rate, {round6('tp / NULLIF(pos, 0)')} AS true_positive_rate"), pb),
-        "pr_points": _q(curve.format(columns=f"{round6('tp / seen')} AS precision, {round6('tp / NULLIF(pos, 0)')} AS recall"), pb),
-        "scenario_thresholds": _q(f"SELECT scenario_name, {round6('threshold_low')} AS threshold_low, {round6('threshold_high')} AS threshold_high FROM pairs"),
-        "threshold_metrics": _q(_policy_rows()),
-        "confusion_matrix": _q(f"""SELECT {G}, scenario_name, true_label, predicted_label,
+        "bin_error_summary": named(_wide("bin_errors", *compared_columns[-3:]), bins),
+        "roc_auc": named(_wide("bundle", "roc_auc"), pb),
+        "average_precision": named(_wide("bundle", "pr_auc"), pb),
+        "brier_minmax": named(_wide("bundle", *bundle_names), pb),
+        "precision_recall_at_rate": named(_rates(), pb),
+        "metric_bundle": named(_long(), pb),
+        "labels_metrics": named(_long(), documents),
+        "roc_points": named(curve.format(columns=f"{round6('(seen - tp) / NULLIF(neg, 0)')} AS false_positive_rate, {round6('tp / NULLIF(pos, 0)')} AS true_positive_rate"), pb),
+        "pr_points": named(curve.format(columns=f"{round6('tp / seen')} AS precision, {round6('tp / NULLIF(pos, 0)')} AS recall"), pb),
+        "scenario_thresholds": named(f"SELECT scenario_name, {round6('threshold_low')} AS threshold_low, {round6('threshold_high')} AS threshold_high FROM pairs"),
+        "threshold_metrics": named(_policy_rows()),
+        "confusion_matrix": named(f"""SELECT {G}, scenario_name, true_label, predicted_label,
   count(*) FILTER (WHERE target = true_label AND (band = 'high_risk')::INT = predicted_label) AS count
 FROM banded, ({cells}) GROUP BY {G}, scenario_name, true_label, predicted_label"""),
-        "segment_performance": _q(f"""SELECT {G}, segment_name, segment_value, n AS applicant_count, {round6("positive_rate")} AS observed_default_rate,
+        "segment_performance": named(f"""SELECT {G}, segment_name, segment_value, n AS applicant_count, {round6("positive_rate")} AS observed_default_rate,
   {round6("average_score")} AS average_score, {round6("roc_auc")} AS roc_auc, {round6("pr_auc")} AS pr_auc, {round6("brier_score")} AS brier_score FROM bundle""",
             _SEGMENTS, _bundle("segment_long", f"{G}, segment_name, segment_value")),
-        "platt_apply": _q(f"SELECT *, {_calibrated('probability')} AS calibrated FROM predictions"),
-        "calibration_comparison": _q(f"""SELECT '{FINE}_' || model_version AS model_version, '{FINE}' AS base_model_version,
+        "platt_apply": named(f"SELECT *, {_calibrated('probability')} AS calibrated FROM predictions"),
+        "calibration_comparison": named(f"""SELECT '{FINE}_' || model_version AS model_version, '{FINE}' AS base_model_version,
   model_version AS calibration_method, split, {", ".join(f"{round6(f'CAST({c} AS DOUBLE)')} AS {c}" for c in compared_columns)},
   '{NOW}' AS created_at FROM bundle JOIN bin_errors USING ({G})""", _COMPARED, _bundle("compared"), _bins("compared")),
-        "risk_scores": _q("SELECT * FROM score_table"),
-        "linear_contributions": _q(f"""SELECT SK_ID_CURR, source_population,
+        "risk_scores": named("SELECT * FROM score_table"),
+        "linear_contributions": named(f"""SELECT SK_ID_CURR, source_population,
   {round6("0.25 * (coalesce(bureau_credit_count, 0) - 10)::DOUBLE")} AS bureau_credit_count,
   {round6("-0.5 * (coalesce(AMT_ANNUITY, 0) - 20000)")} AS AMT_ANNUITY FROM mart_v1"""),
-        "feature_importance": _q(f"""SELECT '{FINE}' AS model_version, label AS feature_name, 'mean_abs_shap' AS importance_type,
+        "feature_importance": named(f"""SELECT '{FINE}' AS model_version, label AS feature_name, 'mean_abs_shap' AS importance_type,
   {round6("v")} AS importance_value, CAST(row_number() OVER (ORDER BY v DESC, label) AS INTEGER) AS rank
 FROM (SELECT label, avg(abs(v)) AS v FROM parts GROUP BY ALL) WHERE v > 0"""),
-        "top_reasons": _q("SELECT * FROM reasons"),
-        "merge_reasons": _q("""SELECT s.* REPLACE (CASE WHEN s.scoring_population = 'holdout_test' THEN r.top_reason_1 END AS top_reason_1,
+        "top_reasons": named("SELECT * FROM reasons"),
+        "merge_reasons": named("""SELECT s.* REPLACE (CASE WHEN s.scoring_population = 'holdout_test' THEN r.top_reason_1 END AS top_reason_1,
   CASE WHEN s.scoring_population = 'holdout_test' THEN r.top_reason_2 END AS top_reason_2,
   CASE WHEN s.scoring_population = 'holdout_test' THEN r.top_reason_3 END AS top_reason_3)
 FROM score_table s LEFT JOIN reasons r ON s.applicant_id = r.applicant_id AND s.scoring_population = r.scoring_population"""),
-        "stability_summary": _q(_stability(), _runs()),
-        "feature_set_winner": _q("SELECT seed, feature_set, seed_validation_winner, " + ", ".join(RUN_METRICS) + " FROM marked", _runs()),
-        "relabel_union": _q(_long(), _ADJUSTED, _bundle("adjusted")),
-        "model_comparison": _q(f"""SELECT metric_name, {round6("b")} AS baseline_metric_value, {round6("c")} AS trees_metric_value,
+        "stability_summary": named(_stability(), _runs()),
+        "feature_set_winner": named("SELECT seed, feature_set, seed_validation_winner, " + ", ".join(RUN_METRICS) + " FROM marked", _runs()),
+        "relabel_union": named(_long(), _ADJUSTED, _bundle("adjusted")),
+        "model_comparison": named(f"""SELECT metric_name, {round6("b")} AS baseline_metric_value, {round6("c")} AS trees_metric_value,
   {round6("c - b")} AS trees_minus_baseline, (SELECT CASE WHEN max(pr_auc) FILTER (WHERE model_version = '{FINE}') >=
     max(pr_auc) FILTER (WHERE model_version = '{COARSE}') THEN 'boosted_trees' ELSE 'logistic_regression' END FROM bundle WHERE split = 'validation') AS selected_model_type
 FROM (SELECT metric_name, max(v) FILTER (WHERE model_version = '{COARSE}') AS b, max(v) FILTER (WHERE model_version = '{FINE}') AS c
