@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
@@ -92,20 +92,25 @@ class Encoder:
         ]
         inputs = [f"{c}__in" for c in self.numeric]
         if self.categorical:
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [self.vocabulary[c] for c in self.categorical],
-                inputCols=[f"{c}__text" for c in self.categorical],
-                outputCols=[f"{c}__index" for c in self.categorical],
-                handleInvalid="keep",
-            )
+            # One indexer per column: a joint one pads shorter vocabularies with nulls.
+            indexers = [
+                StringIndexerModel.from_labels(
+                    self.vocabulary[c],
+                    inputCol=f"{c}__text",
+                    outputCol=f"{c}__index",
+                    handleInvalid="keep",
+                )
+                for c in self.categorical
+            ]
             hot = OneHotEncoder(
                 inputCols=[f"{c}__index" for c in self.categorical],
                 outputCols=[f"{c}__hot" for c in self.categorical],
                 dropLast=True,  # drops the extra index of unseen values
             )
-            # The sizes come from the indexer's metadata, so an empty frame is enough.
+            # The sizes come from the indexers' metadata, so an empty frame is enough.
             schema = T.StructType([T.StructField(f"{c}__text", T.StringType()) for c in self.categorical])
-            stages += [indexer, hot.fit(indexer.transform(spark.createDataFrame([], schema)))]
+            empty = PipelineModel(indexers).transform(spark.createDataFrame([], schema))
+            stages += [*indexers, hot.fit(empty)]
             inputs += [f"{c}__hot" for c in self.categorical]
         return [*stages, VectorAssembler(inputCols=inputs, outputCol=FEATURES)]
 

@@ -47,6 +47,13 @@ def test_all_missing_column_is_kept(spark):
     encoder = encoding.fit_encoder(rows, ["x", "gone", "c", "empty"], scaled=True)
     assert encoder.fills == {"x": 2.0, "gone": 0.0} and encoder.scales["gone"] == (0.0, 1.0)
     assert encoder.modes == {"c": "a", "empty": "missing"}
+    # Vocabularies of different length: 2 numbers, 2 + 1 categories.
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    found = PipelineModel(encoder.stages(spark)).transform(rows.frame)
+    assert sorted(r[0] for r in found.select(vector_to_array("features")).collect()) == [
+        [-1.0, 0.0, 1.0, 0.0, 1.0], [1.0, 0.0, 0.0, 1.0, 1.0]]
 
 
 def test_logistic_optimum_and_contributions(spark, train):
