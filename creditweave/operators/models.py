@@ -109,9 +109,12 @@ def fit_logistic(
     if settings.class_weighting:
         weight = F.when(F.col(target) == 1, n / (2.0 * positives)).otherwise(n / (2.0 * negatives))
     stages = PipelineModel(encoder.stages(train.frame.sparkSession))
-    rows = stages.transform(train.frame).select(
-        FEATURES, F.col(target).cast("double").alias("label"), weight.alias("weight")
-    )
+    rows = store(
+        stages.transform(train.frame).select(
+            FEATURES, F.col(target).cast("double").alias("label"), weight.alias("weight")
+        ),
+        "encoded",
+    ).frame
     # The objective is a mean here, so C = 1 is a penalty of 1 / n.
     learner = LogisticRegression(
         featuresCol=FEATURES,
@@ -202,14 +205,16 @@ def encode_training(
 # --- contributions ---------------------------------------------------------------------
 
 
-def logistic_contributions(model: FittedModel, rows: DataFrame, background: DataFrame) -> DataFrame:
-    """coefficient * (value - background mean) per encoded position, as ``contributions``."""
+def logistic_contributions(
+    model: FittedModel, rows: DataFrame, background: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """(keys, contributions): coefficient * (value - background mean) per encoded position."""
     means = (
         model.encoded(background).select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"]
     )
     values = vector_to_array(F.col(FEATURES))
     found = linear_contributions(values, list(model.classifier.coefficients), list(means))
-    return model.encoded(rows).withColumn("contributions", found).drop(FEATURES)
+    return model.encoded(rows).select(*keys, found.alias("contributions"))
 
 
 @dataclass(frozen=True)
@@ -271,11 +276,11 @@ def tree_leaves(node: Any, scale: float, path: dict[int, list[float]] | None = N
         yield from tree_leaves(child, scale, {**path, feature: box})
 
 
-def tree_contributions(model: FittedModel, rows: DataFrame) -> DataFrame:
-    """Path-dependent Shapley values of the log-odds per encoded position.
+def tree_contributions(model: FittedModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, contributions): path-dependent Shapley values of the log-odds per position.
 
     The leaf tables are as large as the model and are broadcast; every task looks up its
-    rows' boxes batch by batch.
+    rows' boxes batch by batch. Only the keys and the encoded vector reach Python.
     """
     gbt = model.classifier
     leaves = [
@@ -285,8 +290,8 @@ def tree_contributions(model: FittedModel, rows: DataFrame) -> DataFrame:
     ]
     shared = rows.sparkSession.sparkContext.broadcast(leaves)
     width = len(model.encoder.positions())
-    keys = rows.columns
-    encoded = model.encoded(rows).withColumn(FEATURES, vector_to_array(F.col(FEATURES)))
+    keys = list(keys)
+    encoded = model.encoded(rows).select(*keys, vector_to_array(F.col(FEATURES)).alias(FEATURES))
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,5 +304,5 @@ def tree_contributions(model: FittedModel, rows: DataFrame) -> DataFrame:
                 total[:, leaf.features] += leaf.values[bits]
             yield batch[keys].assign(contributions=list(total))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.select(*keys).dtypes)
     return encoded.mapInPandas(explain, f"{fields}, contributions array<double>")

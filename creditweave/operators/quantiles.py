@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from creditweave.sources.workspace import Stored, stored
+from creditweave.sources.workspace import Stored
 
 SORTED_VALUES = 100_000
 _ACCURACY = 10_000
@@ -73,13 +73,27 @@ def exact_quantiles(
     The result has one number per column and probability, so it may come to the driver.
     """
     limit = SORTED_VALUES if sorted_values is None else sorted_values
+    if isinstance(rows, Stored) and rows.rows <= limit:
+        return _small(rows.frame, columns, probabilities)
     result: dict[str, list[float | None]] = {}
-    frame = stored(rows, "values").frame if isinstance(rows, Stored) else rows
+    frame = rows.frame if isinstance(rows, Stored) else rows
     for start in range(0, len(columns), _COLUMNS_PER_PASS):
         result |= _pass(frame, columns[start : start + _COLUMNS_PER_PASS], probabilities, limit)
     return result
 
 
+def _small(frame, columns, probabilities):
+    """One aggregation; the row count is known to be small."""
+    row = frame.agg(
+        *[
+            F.percentile(F.col(c).cast("double"), list(probabilities)).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
+    empty = [None] * len(probabilities)
+    return {c: list(row[f"q{i}"] or empty) for i, c in enumerate(columns)}
+
+
 def _pass(frame, columns, probabilities, limit):
     counts = frame.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}

@@ -130,8 +130,8 @@ def segment_rows(
 
 
 def missing_ids(expected: DataFrame, present: DataFrame, key: str = "SK_ID_CURR") -> DataFrame:
-    """Ids that are expected but not present."""
-    return expected.select(key).distinct().join(present.select(key), key, "left_anti")
+    """Ids that are expected but not present. Both sides are reduced to ids before they meet."""
+    return expected.select(key).distinct().join(present.select(key).distinct(), key, "left_anti")
 
 
 def split_violations(rows: DataFrame, splits: DataFrame) -> DataFrame:

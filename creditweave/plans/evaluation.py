@@ -48,11 +48,11 @@ REPORTED = "split <> 'train'"
 
 
 def artifact_rows(mart: DataFrame, artifact: ModelArtifact) -> DataFrame:
-    """Mart rows of a model's saved split, checked against the saved ids."""
+    """Mart rows of a model's saved split, written once and checked against the saved ids."""
     missing = sorted(set(artifact.feature_columns) - set(mart.columns))
     if missing:
         raise contracts.ContractError(f"The mart is missing model features: {missing}")
-    rows = split_rows(mart, artifact.splits, artifact.feature_columns)
+    rows = store(split_rows(mart, artifact.splits, artifact.feature_columns), "split-rows").frame
     require_split_rows(rows, artifact.splits)
     return rows
 
@@ -256,13 +256,13 @@ def run_explanation(
     rows = scoring.require_all_scored(scores, joined, artifact.model_version).frame
     labels = artifact.model.encoder.labels(mart.sparkSession)
     if artifact.model_type == TREES_TYPE:
-        found = models.tree_contributions(artifact.model, rows)
+        found = models.tree_contributions(artifact.model, rows, contracts.SCORE_KEY)
     else:
         background = split_rows(
             mart, artifact.splits.where("split = 'train'"), artifact.feature_columns
         )
-        found = models.logistic_contributions(artifact.model, rows, background)
-    kept = store(found.select(*contracts.SCORE_KEY, "contributions"), "contributions").frame
+        found = models.logistic_contributions(artifact.model, rows, background, contracts.SCORE_KEY)
+    kept = store(found, "contributions").frame
     importance = store(
         reasons.feature_importance(kept, labels, artifact.model_version), "importance"
     )

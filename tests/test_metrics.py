@@ -109,8 +109,8 @@ def test_selection_rate_must_be_positive(predictions):
             m.at_rate(m.riskiest_first(predictions), [rate])
 
 
-@pytest.mark.parametrize("limit", [3, 40, 10_000])
-def test_exact_quantiles(spark, limit):
+@pytest.mark.parametrize("limit, known", [(3, False), (40, True), (10_000, False), (10_000, True)])
+def test_exact_quantiles(spark, limit, known):
     rnd = random.Random(5)
     smooth = [rnd.gauss(0, 100) for _ in range(2000)]
     tied = [float(rnd.choice([1, 2, 2, 2, 5])) for _ in range(2000)]
@@ -119,6 +119,7 @@ def test_exact_quantiles(spark, limit):
         list(zip(smooth, tied, sparse, [None] * 2000)), "a double, b double, c double, d double"
     )
     qs = [0.0, 0.5, 0.7, 0.95, 1.0]
+    rows = store(rows) if known else rows
     got = exact_quantiles(rows, ["a", "b", "c", "d"], qs, limit)
     for name, values in (("a", smooth), ("b", tied), ("c", [v for v in sparse if v is not None])):
         assert got[name] == pytest.approx([brute.quantile(values, q) for q in qs])

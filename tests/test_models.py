@@ -68,7 +68,7 @@ def test_logistic_optimum_and_contributions(spark, train):
     # At the optimum of sum(w * loss) + |beta|^2 / 2 the gradient vanishes (balanced: w = 1).
     assert np.abs(x.T @ (p - y) + beta).max() < 1e-3
     assert abs((p - y).sum()) < 1e-3
-    found = models.logistic_contributions(model, rows.select("SK_ID_CURR", *FEATURES), rows)
+    found = models.logistic_contributions(model, rows, rows, ["SK_ID_CURR"])
     parts = np.array([r["contributions"] for r in found.collect()])
     margins = x @ beta + b0
     assert parts.sum(1) + margins.mean() == pytest.approx(margins)
@@ -123,7 +123,7 @@ def test_tree_contributions_are_shapley_values(train, trees):
 
     rows = train.frame.select("SK_ID_CURR", *FEATURES)
     found = {r["SK_ID_CURR"]: np.array(r["contributions"])
-             for r in models.tree_contributions(trees, rows).collect()}
+             for r in models.tree_contributions(trees, rows, ["SK_ID_CURR"]).collect()}
     gbt, width = trees.classifier, len(trees.encoder.positions())
     vectors = trees.encoded(rows).select("SK_ID_CURR", vector_to_array("features").alias("v"))
     for row in vectors.limit(6).collect():

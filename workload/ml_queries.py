@@ -65,8 +65,8 @@ def gbt_fit(spark, sf_dir):
 def tree_contributions(spark, sf_dir):
     """Importance of the tree model's features over all labeled applicants."""
     rows, model = trees_model(spark, sf_dir)
-    found = models.tree_contributions(model, rows.frame.select("SK_ID_CURR", *V1_FEATURES))
-    kept = store(found.select("SK_ID_CURR", "contributions"), "contributions").frame
+    found = models.tree_contributions(model, rows.frame, ["SK_ID_CURR"])
+    kept = store(found, "contributions").frame
     return tidy(reasons.feature_importance(kept, model.encoder.labels(spark), "trees"))
 
 
