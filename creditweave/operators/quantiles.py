@@ -73,6 +73,8 @@ def exact_quantiles(
     The result has one number per column and probability, so it may come to the driver.
     """
     limit = SORTED_VALUES if sorted_values is None else sorted_values
+    if not columns:
+        return {}
     if isinstance(rows, Stored) and rows.rows <= limit:
         return _small(rows.frame, columns, probabilities)
     result: dict[str, list[float | None]] = {}

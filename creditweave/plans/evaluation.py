@@ -248,6 +248,20 @@ class Explanation:
     importance: DataFrame
 
 
+def require_plain_labels(artifact: ModelArtifact, labels: list[str], settings: Settings) -> None:
+    """No excluded field may be named by an input of the model or by its label.
+
+    All explanation texts are made of these labels, so this is checked before any job runs.
+    """
+    spark = artifact.splits.sparkSession
+    pairs = [(f, label) for (f, _), label in zip(artifact.model.encoder.positions(), labels, strict=True)]
+    texts = spark.createDataFrame(pairs, "feature string, label string")
+    leaks = forbidden_text(texts, ["feature", "label"], settings.forbidden_terms()).collect()
+    if leaks:
+        listed = ", ".join(sorted({r["text"] for r in leaks}))
+        raise contracts.ContractError(f"Excluded field appeared in explanation text: {listed}")
+
+
 def run_explanation(
     mart: DataFrame, scores: DataFrame, artifact: ModelArtifact, settings: Settings = Settings()
 ) -> Explanation:
@@ -255,6 +269,7 @@ def run_explanation(
     joined = scoring.scored_features(scores, mart, artifact.model_version, artifact.feature_columns)
     rows = scoring.require_all_scored(scores, joined, artifact.model_version).frame
     labels = artifact.model.encoder.labels(mart.sparkSession)
+    require_plain_labels(artifact, labels, settings)
     if artifact.model_type == TREES_TYPE:
         found = models.tree_contributions(artifact.model, rows, contracts.SCORE_KEY)
     else:
@@ -268,12 +283,6 @@ def run_explanation(
     )
     if not importance.rows:
         raise contracts.ContractError("All feature contributions are zero")
-    leaks = forbidden_text(importance.frame, ["feature_name"], settings.forbidden_terms()).collect()
-    if leaks:
-        raise contracts.ContractError(
-            "Excluded field appeared in explanation text: "
-            + ", ".join(sorted({r["text"] for r in leaks}))
-        )
     merged = store(reasons.merge_reasons(scores, reasons.top_reasons(kept, labels)), "scores")
     return Explanation(merged, importance.frame)
 

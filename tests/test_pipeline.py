@@ -146,6 +146,9 @@ def test_explanation(world):
         assert given == sorted(given, key=lambda x: x is None)
         assert all(g.startswith("Higher risk: ") for g in given if g)
         assert len({g for g in given if g}) == sum(g is not None for g in given)
+    secret = Settings(excluded={**SETTINGS.excluded, "more": ("category_feature",)})
+    with pytest.raises(contracts.ContractError, match="Category feature: High"):
+        ev.run_explanation(world["mart"], world["scores"].frame, world["trees"], secret)
     with pytest.raises(contracts.ContractError, match="no rows"):
         scoring.require_all_scored(world["scores"].frame, world["scores"].frame, "none")
 

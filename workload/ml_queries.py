@@ -12,7 +12,7 @@ from creditweave.operators import encoding, metrics, models, policy, reasons, sc
 from creditweave.operators.quantiles import exact_quantiles
 from creditweave.operators.splits import stratified_split
 from creditweave.plans.mart import V1_FEATURES
-from creditweave.plans.training import predict
+from creditweave.plans.training import predict, run_training
 from creditweave.settings import TRAIN_POPULATION, Settings
 from creditweave.sources.reports import export_dashboard
 from creditweave.sources.staging import ingest
@@ -70,6 +70,14 @@ def tree_contributions(spark, sf_dir):
     return tidy(reasons.feature_importance(kept, model.encoder.labels(spark), "trees"))
 
 
+def training_run(spark, sf_dir):
+    """The whole training job on the v1 mart: one quick tree candidate; metric rows."""
+    mart = store(tables(spark, sf_dir).mart_v1, "mart").frame
+    quick = Settings(data_scope="v1", max_candidates=1, max_trees=5)
+    done = run_training(mart, new_path(spark, "models"), quick, "run")
+    return tidy(done.tables["model_metrics_summary"].drop("created_at"))
+
+
 def isotonic_fit(spark, sf_dir):
     kept = mq.predictions(spark, sf_dir).frame.where(f"model_version = '{mq.FINE}'")
     fitted = cal.Calibrators(0.0, 1.0, cal.fit_isotonic(kept.where("split = 'validation'")))
@@ -154,6 +162,7 @@ def ml_queries() -> dict:
         "logistic_fit": logistic_fit,
         "gbt_fit": gbt_fit,
         "tree_contributions": tree_contributions,
+        "training_run": training_run,
         "isotonic_fit": isotonic_fit,
         "sigmoid_fit": sigmoid_fit,
         "median_mode_impute": median_mode_impute,
