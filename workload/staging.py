@@ -117,7 +117,7 @@ FROM {{events}}""",
         "credit_card_balance": f"""SELECT user_id * 10 + event_id % 3 AS SK_ID_PREV, user_id AS SK_ID_CURR,
   {day} AS MONTHS_BALANCE,
   {worth} AS AMT_BALANCE,
-  {_dbl("CASE WHEN event_id % 29 = 0 THEN 0 ELSE 10000 * (1 + user_id % 5) END")} AS AMT_CREDIT_LIMIT_ACTUAL,
+  {_dbl("CASE WHEN event_id % 29 = 0 THEN 0 WHEN user_id % 3 = 0 THEN 8192 WHEN user_id % 3 = 1 THEN 16384 ELSE 32768 END")} AS AMT_CREDIT_LIMIT_ACTUAL,
   CASE WHEN event_type = 'purchase' THEN {worth} ELSE {_dbl("0")} END AS AMT_DRAWINGS_CURRENT,
   {_whole(f"floor({worth} / 20)")} AS AMT_INST_MIN_REGULARITY,
   CASE WHEN event_id % 31 <> 0 THEN {_whole(f"floor({worth} * (event_id % 40) / 400)")} END AS AMT_PAYMENT_CURRENT,
