@@ -13,6 +13,7 @@ from creditweave.schemas import staging_name
 from creditweave.settings import Settings
 from creditweave.sources.reports import write_csv, write_table
 from creditweave.sources.staging import required_sources, timestamp_text
+from creditweave.sources.workspace import store
 
 
 class BuildError(RuntimeError):
@@ -39,6 +40,8 @@ def build_features(
 ) -> Build:
     """Write every feature table of the scope, then profile and check what was written.
 
+    The histories are collapsed once; all tables and the mart are made from those copies.
+
     The mart is partitioned by population, so training and scoring read only their part.
     """
     needed = {staging_name(s) for s in required_sources(settings)}
@@ -47,7 +50,8 @@ def build_features(
         raise BuildError(f"Missing staging tables: {', '.join(missing)}")
     created_at = timestamp_text()
     tables: dict[str, DataFrame] = {k: staging[k] for k in sorted(needed)}
-    for name, plan in FeatureTables(staging).named(settings.post_v1).items():
+    digests = FeatureTables(staging).keep(lambda n, d: store(d, n).frame, settings.post_v1)
+    for name, plan in digests.named(settings.post_v1).items():
         path = f"{folder.rstrip('/')}/{name}"
         write_table(plan, path, ("source_population",) if name == contracts.MART else ())
         written = plan.sparkSession.read.schema(plan.schema).parquet(path)

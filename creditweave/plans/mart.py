@@ -6,9 +6,9 @@ reuses that partitioning and only the applicants themselves are shuffled once mo
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
-from functools import cached_property, reduce
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -173,6 +173,21 @@ def _project(frame: DataFrame, lead: list[str], names, derived: Mapping) -> Data
     return frame.select(*lead, *[derived.get(n, F.col(n)).alias(n) for n in names])
 
 
+def _digest(build: Callable[[FeatureTables], DataFrame]) -> cached_property:
+    """A member that a stored copy may stand in for."""
+
+    @wraps(build)
+    def member(self: FeatureTables) -> DataFrame:
+        name = build.__name__
+        return self.given[name] if name in self.given else build(self)
+
+    return cached_property(member)
+
+
+_V1_DIGESTS = ("applicants", "bureau", "previous", "installments")
+_LATER_DIGESTS = ("balance", "pos", "cards", "last_installments", "last_pos", "last_cards")
+
+
 @dataclass(frozen=True)
 class FeatureTables:
     """All feature tables over one set of staging frames, each built on first use.
@@ -182,6 +197,18 @@ class FeatureTables:
     """
 
     staging: Mapping[str, DataFrame]
+    given: Mapping[str, DataFrame] = field(default_factory=dict)
+
+    def keep(
+        self, save: Callable[[str, DataFrame], DataFrame], post_v1: bool = True
+    ) -> FeatureTables:
+        """The same tables over saved digests.
+
+        For jobs that write several tables: every source is then read once (twice where the
+        latest rows are ranked), and the tables are joins of applicant-grain copies.
+        """
+        names = _V1_DIGESTS + (_LATER_DIGESTS if post_v1 else ())
+        return FeatureTables(self.staging, {n: save(n, getattr(self, n)) for n in names})
 
     def source(self, name: str) -> DataFrame:
         try:
@@ -189,7 +216,7 @@ class FeatureTables:
         except KeyError:
             raise ValueError(f"Missing staging table: {staging_name(name)}") from None
 
-    @cached_property
+    @_digest
     def applicants(self) -> DataFrame:
         return applicant_static(self.source("application_train"), self.source("application_test"))
 
@@ -199,39 +226,39 @@ class FeatureTables:
             self.source("application_train"), self.source("application_test")
         )
 
-    @cached_property
+    @_digest
     def bureau(self) -> DataFrame:
         return h.bureau_digest(self.source("bureau"))
 
-    @cached_property
+    @_digest
     def balance(self) -> DataFrame:
         return h.balance_digest(self.source("bureau_balance"), self.source("bureau"))
 
-    @cached_property
+    @_digest
     def previous(self) -> DataFrame:
         return h.previous_digest(self.source("previous_application"))
 
-    @cached_property
+    @_digest
     def pos(self) -> DataFrame:
         return h.pos_digest(self.source("pos_cash_balance"))
 
-    @cached_property
+    @_digest
     def cards(self) -> DataFrame:
         return h.card_digest(self.source("credit_card_balance"))
 
-    @cached_property
+    @_digest
     def installments(self) -> DataFrame:
         return h.installment_digest(self.source("installments_payments"))
 
-    @cached_property
+    @_digest
     def last_installments(self) -> DataFrame:
         return h.last_installments(self.source("installments_payments"))
 
-    @cached_property
+    @_digest
     def last_pos(self) -> DataFrame:
         return h.last_pos_months(self.source("pos_cash_balance"))
 
-    @cached_property
+    @_digest
     def last_cards(self) -> DataFrame:
         return h.last_card_months(self.source("credit_card_balance"))
 

@@ -114,14 +114,19 @@ def thresholds(kept: Stored) -> dict[str, policy.Thresholds]:
 # --- tables and contracts -------------------------------------------------------------
 
 
+def kept_tables(spark, sf_dir, post_v1: bool = True) -> FeatureTables:
+    """Feature tables over stored digests, for queries that touch many of them."""
+    return tables(spark, sf_dir).keep(lambda name, frame: store(frame, name).frame, post_v1)
+
+
 def table_profile(spark, sf_dir):
-    t = tables(spark, sf_dir)
+    t = kept_tables(spark, sf_dir)
     named = {k: v for k, v in t.named().items() if k.startswith("f_") or k == "segment_diagnostics"}
     return contracts.mart_profile(named, NOW)
 
 
 def data_inventory(spark, sf_dir):
-    t = tables(spark, sf_dir)
+    t = kept_tables(spark, sf_dir)
     return contracts.data_inventory({**t.staging, **t.named()}, NOW)
 
 
@@ -151,11 +156,12 @@ def damaged(t: FeatureTables) -> dict[str, DataFrame]:
 
 
 def contract_violations(spark, sf_dir):
-    return contracts.contract_violations(damaged(tables(spark, sf_dir)), Settings(data_scope="v1"))
+    t = kept_tables(spark, sf_dir, post_v1=False)
+    return contracts.contract_violations(damaged(t), Settings(data_scope="v1"))
 
 
 def contract_clean(spark, sf_dir):
-    t = tables(spark, sf_dir)
+    t = kept_tables(spark, sf_dir, post_v1=False)
     named = {**t.staging, **t.named(post_v1=False)}
     return contracts.contract_violations(named, Settings(data_scope="v1"))
 
