@@ -126,6 +126,14 @@ def test_scores(world):
         assert all((r["observed_target"] is None) == (population == "kaggle_test") for r in own)
 
 
+def test_both_families_explain(world):
+    for artifact in (world["baseline"], world["trees"]):
+        scores = world["scores"].frame.withColumn("model_version", F.lit(artifact.model_version))
+        done = ev.run_explanation(world["mart"], store(scores).frame, artifact, SETTINGS)
+        assert done.scores.rows == 24
+        assert {r["model_version"] for r in done.importance.collect()} == {artifact.model_version}
+
+
 def test_score_contract_finds_damage(world):
     scores = world["scores"].frame
     broken = scores.unionByName(scores.limit(1)).withColumn(
@@ -148,7 +156,7 @@ def test_explanation(world):
         assert len({g for g in given if g}) == sum(g is not None for g in given)
     secret = Settings(excluded={**SETTINGS.excluded, "more": ("category_feature",)})
     with pytest.raises(contracts.ContractError, match="Category feature: High"):
-        ev.run_explanation(world["mart"], world["scores"].frame, world["trees"], secret)
+        ev.run_explanation(world["mart"], world["scores"].frame, world["selected"].artifact, secret)
     with pytest.raises(contracts.ContractError, match="no rows"):
         scoring.require_all_scored(world["scores"].frame, world["scores"].frame, "none")
 
