@@ -126,7 +126,7 @@ def item_keys(hashes: np.ndarray, bound: int) -> np.ndarray:
 
 
 def _keyed(minima: np.ndarray, function, bound: int) -> np.ndarray:
-    tag = np.asarray(function, np.uint64) + np.uint64(1000 * bound)
+    tag = np.atleast_1d(np.asarray(function, np.uint64)) + np.uint64(1000 * bound)
     return _mix(minima + _mix(tag))
 
 
