@@ -4,8 +4,10 @@ Terms are lower-cased words and the six-byte grams inside them, hashed to 64 bit
 over to forms of a word that no example has. Fitting takes a bounded sample of labelled rows
 (`sample_rows`, those with the smallest hash of their id):
 
-* Terms are chosen by their chi-square with the label; at most `most_terms`, those with the
-  highest value. Document frequencies are those of the sample.
+* Of examples with equal texts one counts, so that copies are no evidence for their words.
+* Terms are chosen by their squared correlation with the label (chi-square over the number of
+  examples, at least `least_phi`); at most `most_terms`, those with the highest value.
+  Document frequencies are those of the sample.
 * Each example becomes a TF-IDF vector of unit length over the chosen terms, and the vectors an
   inverted index: for each term the weights of the examples that have it. Examples are numbered
   in blocks and every term knows its largest weight in each block.
@@ -49,8 +51,8 @@ EVIDENCE = 3
 class Fit:
     sample_rows: int = 8192
     most_terms: int = 2048
-    least_chi: float = 30.0
-    least_rows: int = 4
+    least_phi: float = 0.015
+    least_rows: int = 5
     k: int = 25
     prior: float = 0.5
     bins: int = 20
@@ -213,6 +215,11 @@ def fit_index(
     sample = texts.join(F.broadcast(chosen), "example")
     # Of rows that repeat an id, the smallest text is the example.
     sample = sample.groupBy("example", "label").agg(F.min("text").alias("text"))
+    same_text = F.coalesce(F.xxhash64("text"), F.lit(0))
+    sample = sample.groupBy(same_text).agg(
+        F.min(F.struct("example", "text")).alias("one"), F.max("label").alias("label")
+    )
+    sample = sample.select("one.example", "label", "one.text")
     found = store(
         sample.mapInArrow(_examples, "example bigint, label int, term bigint, n bigint"), "toxicity-terms"
     ).frame
@@ -221,12 +228,12 @@ def fit_index(
     counts = found.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("hit"))
     miss = F.lit(rows) - F.col("df")
     cross = F.col("hit") * (F.lit(rows - toxic) - (F.col("df") - F.col("hit"))) - (F.col("df") - F.col("hit")) * (F.lit(toxic) - F.col("hit"))
-    chi = F.try_divide(F.lit(rows) * cross * cross, F.col("df") * miss * F.lit(toxic) * F.lit(rows - toxic))
+    phi = F.try_divide(cross * cross, F.col("df") * miss * F.lit(toxic) * F.lit(rows - toxic))
     terms = (
         counts.filter(F.col("df") >= fit.least_rows)
-        .withColumn("chi", chi)
-        .filter(F.col("chi") >= fit.least_chi)
-        .orderBy(F.desc("chi"), "term")
+        .withColumn("phi", phi)
+        .filter(F.col("phi") >= fit.least_phi)
+        .orderBy(F.desc("phi"), "term")
         .limit(fit.most_terms)
     )
     terms = store(terms.select("term", "df"), "toxicity-chosen").frame

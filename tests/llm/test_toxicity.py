@@ -40,7 +40,7 @@ def test_held_out_documents(spark):
 
 def test_search_is_exact(spark):
     rows, labels = corpus(spark, 500)
-    fit = toxicity.Fit(k=7, least_chi=3.0)
+    fit = toxicity.Fit(k=7, least_phi=0.002)
     index = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), fit, "text", "doc_id", "toxic")
     dense = np.zeros((len(index.terms), len(index.examples)))
     for t in range(len(index.terms)):
