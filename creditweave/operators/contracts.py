@@ -18,6 +18,7 @@ from creditweave.settings import (
     TREES_TYPE,
     Settings,
 )
+from creditweave.sources.workspace import new_path
 
 MART = "mart_credit_risk_features"
 DIAGNOSTICS = "segment_diagnostics"
@@ -25,7 +26,7 @@ VIOLATION_SCHEMA = "check string, detail string, n long"
 
 
 class ContractError(RuntimeError):
-    """The tables violate their contract; the message lists every violation."""
+    """The tables violate their contract; a report table lists every violation."""
 
 
 @dataclass(frozen=True)
@@ -199,15 +200,31 @@ def contract_violations(
 
 
 def require_contracts(tables: Mapping[str, DataFrame], settings: Settings = Settings()) -> None:
-    """Raise one error that lists everything wrong."""
-    raise_violations(contract_violations(tables, settings), "Data contract validation failed")
+    """Raise one error if anything is wrong."""
+    raise_violations(contract_violations(tables, settings), "The tables break their contracts")
 
 
 def raise_violations(violations: DataFrame, lead: str) -> None:
-    rows = violations.orderBy("check", "detail").limit(1000).collect()
-    if rows:
-        listed = "; ".join(f"{r['check']}: {r['detail']} ({r['n']})" for r in rows)
-        raise ContractError(f"{lead}: {listed}")
+    """Write every violation to a report table; the error has the counts of each check.
+
+    A check's smallest detail is named as an example, so the message is bounded by the number
+    of checks.
+    """
+    path = new_path(violations.sparkSession, "violations")
+    violations.write.parquet(path)
+    found = violations.sparkSession.read.parquet(path)
+    checks = (
+        found.groupBy("check")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("detail").alias("detail"))
+        .orderBy("check")
+        .collect()
+    )
+    if checks:
+        total = sum(r["rows"] for r in checks)
+        listed = "; ".join(
+            f"{r['check']}: {r['detail']} ({r['n']} in {r['rows']})" for r in checks
+        )
+        raise ContractError(f"{lead}: {total} violations, all in {path}: {listed}")
 
 
 def data_inventory(
@@ -274,31 +291,41 @@ def probability_violations(frame: DataFrame, name: str, detail: str) -> DataFram
 
 def selected_model_type(comparison: DataFrame, recomputed: str | None = None) -> str:
     """The one model type the comparison table selects; it must match a recomputed choice."""
-    found = sorted(r[0] for r in comparison.select("selected_model_type").distinct().limit(5).collect())
-    if len(found) != 1 or found[0] not in (BASELINE_TYPE, TREES_TYPE):
-        raise ContractError(f"Expected exactly one supported selected model type, got {found}")
-    if recomputed is not None and found[0] != recomputed:
-        raise ContractError(f"Saved selection {found[0]} differs from recomputed {recomputed}")
-    return found[0]
+    kinds = comparison.select("selected_model_type").distinct()
+    row = kinds.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("selected_model_type").alias("first"),
+        F.max("selected_model_type").alias("last"),
+    ).first()
+    if row["n"] != 1 or row["first"] not in (BASELINE_TYPE, TREES_TYPE):
+        raise ContractError(
+            f"One supported model type must be selected, exactly one; there are {row['n']}, "
+            f"from {row['first']} to {row['last']}"
+        )
+    if recomputed is not None and row["first"] != recomputed:
+        raise ContractError(f"The saved selection {row['first']} differs from {recomputed}")
+    return row["first"]
 
 
 def balanced_policy(thresholds: DataFrame, version: str) -> tuple[str, float, float]:
     """(threshold_version, low, high) of the single validation/balanced row of a model."""
-    rows = (
+    row = (
         thresholds.where(
             (F.col("split") == "validation")
             & (F.col("scenario_name") == "balanced")
             & (F.col("model_version") == version)
         )
-        .select("threshold_version", "threshold_low", "threshold_high")
-        .limit(2)
-        .collect()
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.min(c).alias(c) for c in ("threshold_version", "threshold_low", "threshold_high")],
+        )
+        .first()
     )
-    if len(rows) != 1:
+    if row["n"] != 1:
         raise ContractError(
-            f"Expected exactly one validation balanced threshold row for {version}, got {len(rows)}"
+            f"{version} must have exactly one balanced row for validation, and has {row['n']}"
         )
-    return rows[0][0], float(rows[0][1]), float(rows[0][2])
+    return row["threshold_version"], float(row["threshold_low"]), float(row["threshold_high"])
 
 
 def require_same_surface(first: Mapping, second: Mapping) -> None:

@@ -47,10 +47,9 @@ def risk_order(descending: bool = True) -> list[Column]:
 def riskiest_first(
     predictions: DataFrame | Stored,
     groups: Sequence[str] = GROUPS,
-    plain_limit: int | None = None,
 ) -> DataFrame:
     """Predictions ranked from the highest probability, with running target counts."""
-    return ranked(predictions, groups, risk_order(), ["target"], plain_limit)
+    return ranked(predictions, groups, risk_order(), ["target"])
 
 
 def score_curve(ranking: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
@@ -194,10 +193,9 @@ def with_tenth(
     name: str,
     descending: bool,
     groups: Sequence[str] = GROUPS,
-    plain_limit: int | None = None,
 ) -> DataFrame:
     """Predictions with their deterministic rank bin 1..10."""
-    rows = ranked(predictions, groups, risk_order(descending), (), plain_limit)
+    rows = ranked(predictions, groups, risk_order(descending), ())
     return rows.withColumn(name, tenth("rank", "group_rows")).drop("rank", "group_rows")
 
 

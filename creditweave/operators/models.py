@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from typing import Any
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,38 +24,132 @@ from creditweave.operators.reasons import linear_contributions
 from creditweave.settings import Settings
 from creditweave.sources.workspace import Stored, new_path, shared_folder, store
 
-# The ordered candidate presets. "-" keeps the base value; depth -1 means that
-# only the number of leaves limits a tree; "weight" multiplies the class weight.
-_PRESETS = """
-name                          source          trees rate  leaves depth child rows cols  alpha lambda weight
-baseline_current              current_default -     -     -      -     -     -    -     -     -      1
-regularized_low_learning_rate prior_informed  500   0.035 31     -1    50    0.85 0.85  0.05  4.0    1
-rank_focused_class_weighted   prior_informed  650   0.025 63     -1    35    0.85 0.80  0.0   3.0    1.15
-shallow_calibrated            prior_informed  250   0.05  7      3     5     0.90 0.90  0.10  8.0    1
-high_recall_weighted          prior_informed  450   0.04  47     -1    25    0.80 0.85  0.0   2.0    1.35
-feature_subsample_regularized prior_informed  600   0.03  47     -1    60    0.75 0.75  0.10  6.0    1
-compact_conservative          prior_informed  350   0.05  11     4     60    0.95 0.95  0.20  8.0    1
-lighter_weight_calibrated     prior_informed  500   0.035 31     6     45    0.85 0.90  0.05  4.0    0.80
-"""
-_PARAMETERS = {
-    "trees": "n_estimators",
-    "rate": "learning_rate",
-    "leaves": "num_leaves",
-    "depth": "max_depth",
-    "child": "min_child_samples",
-    "rows": "subsample",
-    "cols": "colsample_bytree",
-    "alpha": "reg_alpha",
-    "lambda": "reg_lambda",
-}
-_WHOLE = {"n_estimators", "num_leaves", "max_depth", "min_child_samples"}
-_BASE = {
-    "n_estimators": 300,
-    "learning_rate": 0.05,
-    "num_leaves": 31,
-    "subsample": 0.9,
-    "colsample_bytree": 0.9,
-}
+
+@dataclass(frozen=True)
+class Preset:
+    """A named candidate. A depth of -1 leaves the limit to the number of leaves."""
+
+    name: str
+    source: str
+    n_estimators: int = 300
+    learning_rate: float = 0.05
+    num_leaves: int = 31
+    max_depth: int | None = None
+    min_child_samples: int | None = None
+    subsample: float = 0.9
+    colsample_bytree: float = 0.9
+    reg_alpha: float | None = None
+    reg_lambda: float | None = None
+    class_weight_factor: float = 1.0
+
+    def params(self, class_weight: float) -> dict[str, float | int | None]:
+        given = asdict(self)
+        factor = given.pop("class_weight_factor")
+        del given["name"], given["source"]
+        return given | {"scale_pos_weight": class_weight * factor}
+
+
+# The candidates in the order in which they are tried.
+PRESETS = (
+    Preset(
+        name="baseline_current",
+        source="current_default",
+    ),
+    Preset(
+        name="regularized_low_learning_rate",
+        source="prior_informed",
+        n_estimators=500,
+        learning_rate=0.035,
+        num_leaves=31,
+        max_depth=-1,
+        min_child_samples=50,
+        subsample=0.85,
+        colsample_bytree=0.85,
+        reg_alpha=0.05,
+        reg_lambda=4.0,
+    ),
+    Preset(
+        name="rank_focused_class_weighted",
+        source="prior_informed",
+        n_estimators=650,
+        learning_rate=0.025,
+        num_leaves=63,
+        max_depth=-1,
+        min_child_samples=35,
+        subsample=0.85,
+        colsample_bytree=0.8,
+        reg_alpha=0.0,
+        reg_lambda=3.0,
+        class_weight_factor=1.15,
+    ),
+    Preset(
+        name="shallow_calibrated",
+        source="prior_informed",
+        n_estimators=250,
+        learning_rate=0.05,
+        num_leaves=7,
+        max_depth=3,
+        min_child_samples=5,
+        subsample=0.9,
+        colsample_bytree=0.9,
+        reg_alpha=0.1,
+        reg_lambda=8.0,
+    ),
+    Preset(
+        name="high_recall_weighted",
+        source="prior_informed",
+        n_estimators=450,
+        learning_rate=0.04,
+        num_leaves=47,
+        max_depth=-1,
+        min_child_samples=25,
+        subsample=0.8,
+        colsample_bytree=0.85,
+        reg_alpha=0.0,
+        reg_lambda=2.0,
+        class_weight_factor=1.35,
+    ),
+    Preset(
+        name="feature_subsample_regularized",
+        source="prior_informed",
+        n_estimators=600,
+        learning_rate=0.03,
+        num_leaves=47,
+        max_depth=-1,
+        min_child_samples=60,
+        subsample=0.75,
+        colsample_bytree=0.75,
+        reg_alpha=0.1,
+        reg_lambda=6.0,
+    ),
+    Preset(
+        name="compact_conservative",
+        source="prior_informed",
+        n_estimators=350,
+        learning_rate=0.05,
+        num_leaves=11,
+        max_depth=4,
+        min_child_samples=60,
+        subsample=0.95,
+        colsample_bytree=0.95,
+        reg_alpha=0.2,
+        reg_lambda=8.0,
+    ),
+    Preset(
+        name="lighter_weight_calibrated",
+        source="prior_informed",
+        n_estimators=500,
+        learning_rate=0.035,
+        num_leaves=31,
+        max_depth=6,
+        min_child_samples=45,
+        subsample=0.85,
+        colsample_bytree=0.9,
+        reg_alpha=0.05,
+        reg_lambda=4.0,
+        class_weight_factor=0.8,
+    ),
+)
 
 
 class ModelError(ValueError):
@@ -138,19 +231,8 @@ def tree_candidates(class_weight: float, settings: Settings = Settings()) -> lis
     """The first ``max_candidates`` presets, or only the first one without tuning."""
     if settings.max_candidates < 1:
         raise ModelError("max_candidates must be at least 1")
-    header, *lines = [line.split() for line in _PRESETS.strip().splitlines()]
-    found = []
-    for line in lines[: settings.max_candidates if settings.tuning_enabled else 1]:
-        preset = dict(zip(header, line, strict=True))
-        params: dict[str, Any] = {p: _BASE.get(p) for p in _PARAMETERS.values()}
-        for short, name in _PARAMETERS.items():
-            if preset[short] != "-":
-                params[name] = int(preset[short]) if name in _WHOLE else float(preset[short])
-        params["scale_pos_weight"] = class_weight * float(preset["weight"])
-        if settings.max_trees:
-            params["n_estimators"] = min(params["n_estimators"], settings.max_trees)
-        found.append(Candidate(preset["name"], preset["source"], params))
-    return found
+    wanted = PRESETS[: settings.max_candidates if settings.tuning_enabled else 1]
+    return [Candidate(p.name, p.source, p.params(class_weight)) for p in wanted]
 
 
 def tree_depth(params: dict) -> int:

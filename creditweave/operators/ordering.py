@@ -5,8 +5,7 @@ Instead the rows are range-partitioned by (group, order), which also separates r
 score because the order ends in a unique key; each partition numbers its rows locally, and a
 table with one row per (partition, group) holds the offsets. The range boundaries are sampled
 anew by every execution, so the placed rows are written once and read from there on.
-
-Inputs whose known row count is small take the plain window, which is bounded then.
+There is one plan for every size. A NULL group is a group of its own.
 """
 
 from __future__ import annotations
@@ -17,9 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from creditweave.sources.workspace import Stored, store, stored
-
-PLAIN_WINDOW_ROWS = 500_000
+from creditweave.sources.workspace import Stored, store
 
 
 def ranked(
@@ -27,36 +24,12 @@ def ranked(
     groups: Sequence[str],
     order: Sequence[Column],
     sums: Sequence[str] = (),
-    plain_limit: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (from 1), ``group_rows`` and, per name in ``sums``, running_* and group_*.
 
-    Groups must not be NULL and the order must be total within a group.
+    The order must be total within a group.
     """
-    source = stored(rows, "rows")
-    limit = PLAIN_WINDOW_ROWS if plain_limit is None else plain_limit
-    if source.rows <= limit:
-        return _plain(source.frame, groups, order, sums)
-    return _placed(source.frame, groups, order, sums)
-
-
-def _plain(
-    rows: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str]
-) -> DataFrame:
-    whole = W.partitionBy(*groups)
-    upto = whole.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.select(
-        "*",
-        F.row_number().over(whole.orderBy(*order)).cast("long").alias("rank"),
-        F.count(F.lit(1)).over(whole).alias("group_rows"),
-        *[F.sum(s).over(upto).alias(f"running_{s}") for s in sums],
-        *[F.sum(s).over(whole).alias(f"group_{s}") for s in sums],
-    )
-
-
-def _placed(
-    rows: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Sequence[str]
-) -> DataFrame:
+    rows = rows.frame if isinstance(rows, Stored) else rows
     total_order = [*(F.col(g).asc() for g in groups), *order]
     slots = (
         rows.repartitionByRange(*total_order)
@@ -87,7 +60,10 @@ def _placed(
         *[F.sum(f"_sum_{s}").over(whole).alias(f"group_{s}") for s in sums],
     )
     # Written, so that its true size decides whether Spark broadcasts it.
-    joined = placed.join(store(offsets, "offsets").frame, ["_part", *groups])
+    known = store(offsets, "offsets").frame
+    renamed = {g: f"_of_{g}" for g in groups}
+    same = [placed["_part"] == F.col("_of_part"), *(placed[g].eqNullSafe(F.col(n)) for g, n in renamed.items())]
+    joined = placed.join(known.withColumnsRenamed({"_part": "_of_part", **renamed}), same)
     inside = W.partitionBy("_part", *groups).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
     return joined.select(
         *rows.columns,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from creditweave.sources.workspace import Stored
 
+# The search stops when an interval holds so few values; a fixed bound for one task.
 SORTED_VALUES = 100_000
 _ACCURACY = 10_000
 _MARGIN = 5.0 / _ACCURACY
@@ -66,37 +67,21 @@ def exact_quantiles(
     rows: DataFrame | Stored,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    sorted_values: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column, NULLs left out; None for empty columns.
 
     The result has one number per column and probability, so it may come to the driver.
     """
-    limit = SORTED_VALUES if sorted_values is None else sorted_values
     if not columns:
         return {}
-    if isinstance(rows, Stored) and rows.rows <= limit:
-        return _small(rows.frame, columns, probabilities)
     result: dict[str, list[float | None]] = {}
     frame = rows.frame if isinstance(rows, Stored) else rows
     for start in range(0, len(columns), _COLUMNS_PER_PASS):
-        result |= _pass(frame, columns[start : start + _COLUMNS_PER_PASS], probabilities, limit)
+        result |= _pass(frame, columns[start : start + _COLUMNS_PER_PASS], probabilities)
     return result
 
 
-def _small(frame, columns, probabilities):
-    """One aggregation; the row count is known to be small."""
-    row = frame.agg(
-        *[
-            F.percentile(F.col(c).cast("double"), list(probabilities)).alias(f"q{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    empty = [None] * len(probabilities)
-    return {c: list(row[f"q{i}"] or empty) for i, c in enumerate(columns)}
-
-
-def _pass(frame, columns, probabilities, limit):
+def _pass(frame, columns, probabilities):
     counts = frame.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
     searches: dict[tuple[str, int], _Search] = {}
@@ -104,7 +89,7 @@ def _pass(frame, columns, probabilities, limit):
         for p in probabilities if n else ():
             for rank in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
                 searches[c, rank] = _Search(c, rank, 0, n)
-    while wide := [s for s in searches.values() if s.value is None and s.inside > limit]:
+    while wide := [s for s in searches.values() if s.value is None and s.inside > SORTED_VALUES]:
         _narrow_all(frame, wide)
     _sort_rest(frame, [s for s in searches.values() if s.value is None])
 

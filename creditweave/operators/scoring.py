@@ -27,14 +27,13 @@ def score_rows(
     model_version: str,
     calibration_method: str,
     scored_at: datetime,
-    plain_limit: int | None = None,
 ) -> DataFrame:
     """Score table rows from (SK_ID_CURR, scoring_population, target, probability, calibrated).
 
     Bands and deciles come from the raw probability; decile 1 is the riskiest tenth of each
     scoring population.
     """
-    ranked = with_tenth(scored, "score_decile", True, ("scoring_population",), plain_limit)
+    ranked = with_tenth(scored, "score_decile", True, ("scoring_population",))
     band = risk_band("probability", thresholds)
     empty = F.lit(None).cast("string")
     values = {
@@ -96,8 +95,3 @@ def require_all_scored(scores: DataFrame, joined: DataFrame | Stored, version: s
             f"Scored rows do not reconcile to the mart: scored={expected}, joined={kept.rows}"
         )
     return kept
-
-
-def bounded_sample(rows: DataFrame, key: str, limit: int = 5000, seed: int = 42) -> DataFrame:
-    """A reproducible sample of at most ``limit`` rows, e.g. for a contribution plot."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(limit)

@@ -24,7 +24,6 @@ def segment_text(column: Column, kind: T.DataType) -> Column:
 def segment_performance(
     predictions: DataFrame,
     dimensions: Sequence[str] = SEGMENT_DIMENSIONS,
-    plain_limit: int | None = None,
 ) -> DataFrame:
     """One row per (model, split, dimension, value); ranks are NULL for single-class segments.
 
@@ -43,7 +42,7 @@ def segment_performance(
     long = predictions.select(
         *GROUPS, "SK_ID_CURR", "target", "probability", F.explode(F.array(*entries)).alias("_e")
     ).select(*GROUPS, "_e.*", "SK_ID_CURR", "target", "probability")
-    bundle = metric_bundle(riskiest_first(store(long, "segments"), groups, plain_limit), groups)
+    bundle = metric_bundle(riskiest_first(store(long, "segments"), groups), groups)
     return bundle.select(
         *groups,
         F.col("rows").alias("applicant_count"),

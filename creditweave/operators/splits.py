@@ -48,7 +48,7 @@ def split_quotas(sizes: dict[int, int], settings: Settings) -> dict[int, tuple[i
 
 
 def stratified_split(
-    labeled: DataFrame | Stored, settings: Settings = Settings(), plain_limit: int | None = None
+    labeled: DataFrame | Stored, settings: Settings = Settings()
 ) -> DataFrame:
     """(SK_ID_CURR, TARGET, split): exact class quotas, chosen by a hash of seed and id."""
     source = stored(labeled, "labeled")
@@ -61,7 +61,6 @@ def stratified_split(
         ["TARGET"],
         [F.col("_lot").asc(), F.col("SK_ID_CURR").asc()],
         (),
-        plain_limit,
     )
 
     def quota(upto: int):
@@ -165,6 +164,8 @@ def split_violations(rows: DataFrame, splits: DataFrame) -> DataFrame:
 def require_split_rows(rows: DataFrame, splits: DataFrame) -> None:
     problems = split_violations(rows, splits).collect()
     if problems:
-        ids = [r[0] for r in missing_ids(splits, rows).limit(10).collect()]
+        # The ten smallest, a top-k, so that the message is the same every time.
+        missing = missing_ids(splits, rows)
+        ids = [r[0] for r in missing.orderBy(missing.columns[0]).limit(10).collect()]
         detail = "; ".join(f"{r['split']}: {r['problem']} ({r['n']})" for r in problems)
         raise SplitError(f"Split rows do not reconcile: {detail}; first missing ids {sorted(ids)}")

@@ -21,16 +21,39 @@ from creditweave.settings import TEST_POPULATION, TRAIN_POPULATION
 KEY = ["SK_ID_CURR", "source_population"]
 EXTERNAL = ("EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3")
 
-APPLICANT_FEATURES = (
-    "NAME_CONTRACT_TYPE FLAG_OWN_CAR FLAG_OWN_REALTY AMT_INCOME_TOTAL AMT_CREDIT AMT_ANNUITY "
-    "AMT_GOODS_PRICE credit_to_income_ratio annuity_to_income_ratio "
-    "goods_price_to_income_ratio NAME_INCOME_TYPE NAME_EDUCATION_TYPE NAME_HOUSING_TYPE "
-    "REGION_POPULATION_RELATIVE employment_length_days DAYS_REGISTRATION DAYS_ID_PUBLISH "
-    "OWN_CAR_AGE OCCUPATION_TYPE REGION_RATING_CLIENT REGION_RATING_CLIENT_W_CITY "
-    "HOUR_APPR_PROCESS_START ORGANIZATION_TYPE EXT_SOURCE_1 EXT_SOURCE_2 EXT_SOURCE_3 "
-    "ext_source_mean ext_source_min ext_source_max ext_source_missing_count "
-    "DAYS_LAST_PHONE_CHANGE"
-).split()
+APPLICANT_FEATURES = [
+    "NAME_CONTRACT_TYPE",
+    "FLAG_OWN_CAR",
+    "FLAG_OWN_REALTY",
+    "AMT_INCOME_TOTAL",
+    "AMT_CREDIT",
+    "AMT_ANNUITY",
+    "AMT_GOODS_PRICE",
+    "credit_to_income_ratio",
+    "annuity_to_income_ratio",
+    "goods_price_to_income_ratio",
+    "NAME_INCOME_TYPE",
+    "NAME_EDUCATION_TYPE",
+    "NAME_HOUSING_TYPE",
+    "REGION_POPULATION_RELATIVE",
+    "employment_length_days",
+    "DAYS_REGISTRATION",
+    "DAYS_ID_PUBLISH",
+    "OWN_CAR_AGE",
+    "OCCUPATION_TYPE",
+    "REGION_RATING_CLIENT",
+    "REGION_RATING_CLIENT_W_CITY",
+    "HOUR_APPR_PROCESS_START",
+    "ORGANIZATION_TYPE",
+    "EXT_SOURCE_1",
+    "EXT_SOURCE_2",
+    "EXT_SOURCE_3",
+    "ext_source_mean",
+    "ext_source_min",
+    "ext_source_max",
+    "ext_source_missing_count",
+    "DAYS_LAST_PHONE_CHANGE",
+]
 PRESSURE_FEATURES = (
     "external_score_credit_pressure",
     "external_score_annuity_pressure",

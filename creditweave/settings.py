@@ -30,6 +30,7 @@ SEGMENT_DIMENSIONS = (
     "CNT_FAM_MEMBERS",
 )
 
+# Columns that no model may see, and the default business assumptions.
 _EXCLUDED = {
     "identifiers": ("SK_ID_CURR", "SK_ID_PREV", "SK_ID_BUREAU"),
     "target": ("TARGET",),
@@ -62,7 +63,6 @@ class Settings:
     class_weighting: bool = True
     tuning_enabled: bool = True
     max_candidates: int = 8
-    max_trees: int | None = None  # upper bound on the trees of every candidate
     review_capacity: float = 0.10
     threshold_version: str = "threshold_v1"
     thresholds: dict = field(default_factory=dict)

@@ -1,5 +1,7 @@
 """Ingestion, feature build, splits, contracts and inventories."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,10 +119,9 @@ def test_column_counts(spark):
     assert got == {"x": (3, 1, 1), "s": (3, 1, 2)}
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_stratified_split(spark, limit):
+def test_stratified_split(spark):
     rows = spark.range(40).select(F.col("id").alias("SK_ID_CURR"), (F.col("id") % 2).alias("TARGET"))
-    got = splits.stratified_split(rows, plain_limit=limit).collect()
+    got = splits.stratified_split(rows).collect()
     count = {}
     for r in got:
         count[r["split"], r["TARGET"]] = count.get((r["split"], r["TARGET"]), 0) + 1
@@ -178,3 +179,20 @@ def test_same_splits(spark):
         contracts.require_same_splits(one, one.where("SK_ID_CURR = 1"))
     with pytest.raises(contracts.ContractError):
         contracts.require_same_surface({"feature_columns": ["a"]}, {"feature_columns": ["b"]})
+
+
+def test_every_violation_is_in_the_report_table(spark):
+    found = spark.range(2500).selectExpr(
+        "if(id % 2 = 0, 'odd grain', 'late row') as check", "concat('key ', id) as detail", "id as n"
+    )
+    with pytest.raises(contracts.ContractError, match="2500 violations") as error:
+        contracts.raise_violations(found, "The rows are wrong")
+    path = re.search(r"all in (\S+):", str(error.value))[1]
+    assert spark.read.parquet(path).count() == 2500
+    contracts.raise_violations(found.limit(0), "Nothing is wrong")
+
+
+def test_missing_ids_are_the_smallest(spark):
+    drawn = spark.range(40).selectExpr("id as SK_ID_CURR", "'train' as split", "id % 2 as TARGET")
+    with pytest.raises(splits.SplitError, match=r"\[10, 11, 12, 13, 14, 15, 16, 17, 18, 19\]"):
+        splits.require_split_rows(drawn.where("SK_ID_CURR < 10"), drawn)

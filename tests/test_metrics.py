@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from creditweave.operators import metrics as m
 from creditweave.operators.ordering import ranked
+from creditweave.operators import quantiles
 from creditweave.operators.quantiles import exact_quantiles
 from creditweave.sources.workspace import store
 from tests import brute
@@ -32,10 +33,9 @@ def predictions(spark):
     return store(spark.createDataFrame(rows, SCHEMA).repartition(5))
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
-def test_metric_bundle(predictions, limit):
+def test_metric_bundle(predictions):
     got = {r["split"]: r for r in m.metric_bundle(
-        m.riskiest_first(predictions, plain_limit=limit), capacity=0.2).collect()}
+        m.riskiest_first(predictions), capacity=0.2).collect()}
     for split, rows in CASES.items():
         pairs = [(p, y) for _, y, p in rows]
         row, base = got[split], sum(y for _, y in pairs) / len(pairs)
@@ -52,10 +52,9 @@ def test_metric_bundle(predictions, limit):
         assert row["min_predicted_probability"] == min(p for p, _ in pairs)
 
 
-@pytest.mark.parametrize("limit", [0, 10_000])
 @pytest.mark.parametrize("descending", [True, False])
-def test_rank_bins(predictions, limit, descending):
-    rows = m.with_tenth(predictions, "b", descending, plain_limit=limit).collect()
+def test_rank_bins(predictions, descending):
+    rows = m.with_tenth(predictions, "b", descending).collect()
     assert len(rows) == sum(map(len, CASES.values()))
     for split, part in CASES.items():
         assert {r["SK_ID_CURR"]: r["b"] for r in rows if r["split"] == split} == brute.bins(
@@ -65,7 +64,7 @@ def test_rank_bins(predictions, limit, descending):
 
 def test_running_sums_do_not_depend_on_partitions(spark, predictions):
     def result():
-        rows = ranked(predictions, ["split"], m.risk_order(), ["target"], 0)
+        rows = ranked(predictions, ["split"], m.risk_order(), ["target"])
         return sorted(rows.collect())
 
     expected = sorted(ranked(predictions, ["split"], m.risk_order(), ["target"]).collect())
@@ -109,8 +108,10 @@ def test_selection_rate_must_be_positive(predictions):
             m.at_rate(m.riskiest_first(predictions), [rate])
 
 
-@pytest.mark.parametrize("limit, known", [(3, False), (40, True), (10_000, False), (10_000, True)])
-def test_exact_quantiles(spark, limit, known):
+@pytest.mark.parametrize("stop, known", [(3, False), (40, True), (10_000, False), (10_000, True)])
+def test_exact_quantiles(spark, monkeypatch, stop, known):
+    """Wherever the search stops, the result is the interpolated quantile."""
+    monkeypatch.setattr(quantiles, "SORTED_VALUES", stop)
     rnd = random.Random(5)
     smooth = [rnd.gauss(0, 100) for _ in range(2000)]
     tied = [float(rnd.choice([1, 2, 2, 2, 5])) for _ in range(2000)]
@@ -120,7 +121,7 @@ def test_exact_quantiles(spark, limit, known):
     )
     qs = [0.0, 0.5, 0.7, 0.95, 1.0]
     rows = store(rows) if known else rows
-    got = exact_quantiles(rows, ["a", "b", "c", "d"], qs, limit)
+    got = exact_quantiles(rows, ["a", "b", "c", "d"], qs)
     for name, values in (("a", smooth), ("b", tied), ("c", [v for v in sparse if v is not None])):
         assert got[name] == pytest.approx([brute.quantile(values, q) for q in qs])
     assert got["d"] == [None] * 5
@@ -129,3 +130,28 @@ def test_exact_quantiles(spark, limit, known):
 def test_invalid_probabilities(spark):
     rows = spark.createDataFrame([(0.5,), (None,), (1.1,), (float("nan"),)], "probability double")
     assert m.invalid_probabilities(rows).count() == 3
+
+
+def test_null_groups_keep_their_rows(spark):
+    rows = [(None if i % 4 == 0 else f"g{i % 3}", i, i % 2, (i * 7 % 20) / 20) for i in range(60)]
+    frame = spark.createDataFrame(rows, "g string, SK_ID_CURR long, target int, probability double")
+    got = ranked(frame.repartition(5), ["g"], m.risk_order(), ["target"]).collect()
+    assert len(got) == 60
+    for group in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[3], r[1]))
+        placed = {r["SK_ID_CURR"]: r for r in got if r["g"] == group}
+        for rank, row in enumerate(mine, 1):
+            found = placed[row[1]]
+            assert (found["rank"], found["group_rows"]) == (rank, len(mine))
+            assert found["running_target"] == sum(r[2] for r in mine[:rank])
+
+
+def test_no_window_holds_a_whole_group(spark):
+    frame = spark.range(4000).selectExpr(
+        "if(id % 10 = 0, 'cold', 'hot') as g", "id as SK_ID_CURR", "1 as target", "(id % 97) / 97D as probability"
+    )
+    got = ranked(frame, ["g"], m.risk_order(), ["target"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert windows and all("_part" in line for line in windows)
+    assert got.where("g = 'hot'").agg(F.max("rank")).first()[0] == 3600

@@ -76,11 +76,11 @@ def test_logistic_optimum_and_contributions(spark, train):
 
 @pytest.fixture(scope="module")
 def trees(train):
-    settings = Settings(max_trees=4, max_candidates=4)
     encoded, encoder, stages = models.encode_training(train, FEATURES)
-    candidate = models.tree_candidates(1.0, settings)[3]
+    candidate = models.tree_candidates(1.0)[3]
     assert candidate.name == "shallow_calibrated" and models.tree_depth(candidate.params) == 3
-    return models.fit_trees(encoded.frame, encoder, candidate, 7, stages)
+    few = models.Candidate(candidate.name, candidate.source, candidate.params | {"n_estimators": 4})
+    return models.fit_trees(encoded.frame, encoder, few, 7, stages)
 
 
 def brute_shapley(tree, weight, row, width):

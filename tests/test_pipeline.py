@@ -1,12 +1,13 @@
 """Training to dashboard on the synthetic mart, with the invariants of every table."""
 
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
-from creditweave.operators import contracts, scoring
+from creditweave.operators import contracts, models, scoring
 from creditweave.plans import evaluation as ev
 from creditweave.plans import experiments as ex
 from creditweave.plans.training import run_training
@@ -16,11 +17,19 @@ from creditweave.sources import artifacts, reports
 from creditweave.sources.workspace import store
 from tests.fixtures import synthetic_diagnostics, synthetic_mart
 
-SETTINGS = Settings(max_candidates=2, max_trees=3)
+SETTINGS = Settings(max_candidates=2)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def small_presets():
+    """The library has no bound on the trees; the tests' presets have few."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(models, "PRESETS", [replace(p, n_estimators=3) for p in models.PRESETS])
+        yield
 
 
 @pytest.fixture(scope="module")
-def world(spark, tmp_path_factory):
+def world(spark, small_presets, tmp_path_factory):
     """Everything up to the explained scores, made once."""
     folder = str(tmp_path_factory.mktemp("models"))
     mart = store(synthetic_mart(spark)).frame
@@ -205,7 +214,7 @@ def test_reasons_must_match_scores(world):
 
 def test_selection_and_stability(world):
     features = contracts.model_features(world["mart"], SETTINGS)
-    quick = Settings(max_candidates=1, max_trees=2)
+    quick = Settings(max_candidates=1)
     importance = world["mart"].sparkSession.createDataFrame(
         [(f"{name.replace('_', ' ').capitalize()}" + (": Low" if i == 0 else ""), i + 1)
          for i, name in enumerate(["category_feature", *[f for f in features if f != "category_feature"]])],

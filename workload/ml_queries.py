@@ -23,10 +23,6 @@ from workload.oracle_models import KINDS, named, segment_count_sql
 from workload.queries import tables, tidy
 from workload.staging import spark_staging
 
-# Few trees, so that a fit is measured and not a training run of many minutes.
-QUICK = Settings(max_candidates=4, max_trees=5)
-
-
 def split_mart(spark, sf_dir) -> tuple[Stored, Stored]:
     """(all labeled rows with their split, the training part) of the v1 mart."""
     mart = tables(spark, sf_dir).mart_v1.where(F.col("source_population") == TRAIN_POPULATION)
@@ -45,7 +41,7 @@ def trees_model(spark, sf_dir):
     rows, train = split_mart(spark, sf_dir)
     negatives, positives = models.class_sizes(train.frame)
     encoded, encoder, stages = models.encode_training(train, V1_FEATURES)
-    candidate = models.tree_candidates(negatives / positives, QUICK)[3]
+    candidate = models.tree_candidates(negatives / positives)[3]
     return rows, models.fit_trees(encoded.frame, encoder, candidate, 42, stages)
 
 
@@ -71,10 +67,10 @@ def tree_contributions(spark, sf_dir):
 
 
 def training_run(spark, sf_dir):
-    """The whole training job on the v1 mart: one quick tree candidate; metric rows."""
+    """The whole training job on the v1 mart with the first candidate; metric rows."""
     mart = store(tables(spark, sf_dir).mart_v1, "mart").frame
-    quick = Settings(data_scope="v1", max_candidates=1, max_trees=5)
-    done = run_training(mart, new_path(spark, "models"), quick, "run")
+    settings = Settings(data_scope="v1", max_candidates=1)
+    done = run_training(mart, new_path(spark, "models"), settings, "run")
     return tidy(done.tables["model_metrics_summary"].drop("created_at"))
 
 
