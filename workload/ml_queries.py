@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditweave.functions.expressions import logit, sigmoid
 from creditweave.operators import calibration as cal
 from creditweave.operators import encoding, metrics, models, policy, reasons, scoring
 from creditweave.operators.quantiles import exact_quantiles
@@ -86,6 +87,40 @@ def sigmoid_fit(spark, sf_dir):
     return tidy(cal.apply_method(kept.where("split <> 'train'"), cal.SIGMOID, fitted))
 
 
+def sigmoid_optimum(spark, sf_dir):
+    """Whether the gradient vanishes at the fitted sigmoid, over all validation rows."""
+    kept = mq.predictions(spark, sf_dir).frame.where(f"model_version = '{mq.FINE}' AND split = 'validation'")
+    fitted = cal.fit_sigmoid(kept)
+    x = logit("probability")
+    error = sigmoid(F.lit(fitted.intercept) + F.lit(fitted.slope) * x) - F.col("target")
+    slope = F.avg(error * x) + F.lit(fitted.slope) / F.count(F.lit(1))
+    return kept.agg(
+        F.count(F.lit(1)).alias("validation_rows"),
+        ((F.abs(F.avg(error)) < 1e-5) & (F.abs(slope) < 1e-5)).alias("at_optimum"),
+    )
+
+
+def logistic_optimum(spark, sf_dir):
+    """Whether every component of the gradient vanishes at the fitted baseline."""
+    rows, model = logistic_model(spark, sf_dir)
+    train = rows.frame.where("split = 'train'")
+    negatives, positives = models.class_sizes(train)
+    n = negatives + positives
+    weight = F.when(F.col("TARGET") == 1, n / (2.0 * positives)).otherwise(n / (2.0 * negatives))
+    values = vector_to_array(F.col(encoding.FEATURES))
+    errors = model.encoded(model.with_probability(train)).select(
+        (weight * (F.col("probability") - F.col("TARGET"))).alias("e"),
+        F.posexplode(F.array_insert(values, 1, F.lit(1.0))).alias("place", "x"),
+    )
+    # The intercept, at place 0, has no penalty.
+    beta = F.array(F.lit(0.0), *[F.lit(float(c)) for c in model.classifier.coefficients])
+    slopes = errors.groupBy("place").agg((F.sum(F.col("e") * F.col("x")) / n).alias("mean"))
+    slopes = slopes.select(F.abs(F.col("mean") + F.element_at(beta, F.col("place") + 1) / n).alias("size"))
+    return slopes.agg(
+        F.lit(n).cast("long").alias("train_rows"), (F.max("size") < 1e-4).alias("at_optimum")
+    )
+
+
 def median_mode_impute(spark, sf_dir):
     """The fill value of every v1 feature over all applicants."""
     mart = store(tables(spark, sf_dir).mart_v1.select(*V1_FEATURES), "mart")
@@ -161,6 +196,8 @@ def ml_queries() -> dict:
         "training_run": training_run,
         "isotonic_fit": isotonic_fit,
         "sigmoid_fit": sigmoid_fit,
+        "sigmoid_optimum": sigmoid_optimum,
+        "logistic_optimum": logistic_optimum,
         "median_mode_impute": median_mode_impute,
         "one_hot_unknown": one_hot_unknown,
         "scored_features": scored_features,
@@ -169,6 +206,25 @@ def ml_queries() -> dict:
     }
 
 
+# The monotone fit at a score is the largest, over starts at or below it, of the smallest mean
+# of a run of scores from that start to an end at or above it.
+_ISOTONIC = f"""SELECT p.* REPLACE ({round6("p.probability")} AS probability), {round6("""CASE WHEN low.x IS NULL THEN high.y WHEN high.x IS NULL OR low.x = high.x THEN low.y
+  ELSE low.y + (high.y - low.y) * (p.probability - low.x) / (high.x - low.x) END""")} AS calibrated
+FROM (SELECT * FROM predictions WHERE model_version = '{mq.FINE}' AND split <> 'train') p
+ASOF LEFT JOIN steps low ON p.probability >= low.x ASOF LEFT JOIN steps high ON p.probability <= high.x"""
+_STEPS = {
+    "validation_scores": f"""SELECT x, row_number() OVER (ORDER BY x) AS place, s, n,
+  sum(s) OVER (ORDER BY x) AS upto_s, sum(n) OVER (ORDER BY x) AS upto_n
+FROM (SELECT probability AS x, CAST(sum(target) AS DOUBLE) AS s, count(*) AS n FROM predictions
+  WHERE model_version = '{mq.FINE}' AND split = 'validation' GROUP BY 1)""",
+    "runs": """SELECT a.place AS start, b.place AS place, b.x,
+  (b.upto_s - a.upto_s + a.s) / (b.upto_n - a.upto_n + a.n) AS mean
+FROM validation_scores a JOIN validation_scores b ON a.place <= b.place""",
+    "lowest": """SELECT start, x, min(mean) OVER (PARTITION BY start ORDER BY place DESC) AS low FROM runs""",
+    "steps": """SELECT x, max(low) AS y FROM lowest GROUP BY x""",
+}
+
+
 def ml_oracles() -> dict[str, str]:
     texts = [c for c in V1 if KINDS.get(c) == "string"]
     fills = [
@@ -208,6 +264,11 @@ def ml_oracles() -> dict[str, str]:
         "segment_performance_summary": segment_count_sql(),
     }
     return {
+        "isotonic_fit": named(_ISOTONIC, _STEPS),
+        "sigmoid_optimum": named(f"""SELECT count(*) AS validation_rows, TRUE AS at_optimum FROM predictions
+WHERE model_version = '{mq.FINE}' AND split = 'validation'"""),
+        "logistic_optimum": named(f"""SELECT count(*) AS train_rows, TRUE AS at_optimum FROM predictions
+WHERE model_version = '{mq.FINE}' AND split = 'train'"""),
         "median_mode_impute": compose(" UNION ALL ".join(fills)),
         "one_hot_unknown": compose(f"SELECT SK_ID_CURR, {hot} FROM mart_v1"),
         "scored_features": named(f"""SELECT t.applicant_id, t.scoring_population, t.model_version, t.threshold_version,
