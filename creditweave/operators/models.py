@@ -319,16 +319,19 @@ def _leaf(value: float, path: dict[int, list[float]]) -> Leaf:
     d = len(features)
     share = [path[f][2] for f in features]
     weight = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
+    # Row b of every table is for the rows whose box memberships are the bits of b.
+    inside = np.arange(1 << d)[:, None] >> np.arange(d) & 1
     values = np.zeros((1 << d, d))
-    for bits in range(1 << d):
-        inside = [bits >> j & 1 for j in range(d)]
-        for i in range(d):
-            # Coefficient k: total weight of the coalitions of k other features.
-            sizes = np.ones(1)
-            for j in range(d):
-                if j != i:
-                    sizes = np.convolve(sizes, [share[j], inside[j]])
-            values[bits, i] = value * (inside[i] - share[i]) * float(np.dot(sizes, weight))
+    for i in range(d):
+        # Column k: total weight of the coalitions of k other features.
+        sizes = np.zeros((1 << d, d))
+        sizes[:, 0] = 1.0
+        for j in range(d):
+            if j != i:
+                added = sizes[:, :-1] * inside[:, [j]]
+                sizes *= share[j]
+                sizes[:, 1:] += added
+        values[:, i] = value * (inside[:, i] - share[i]) * (sizes @ weight)
     return Leaf(
         np.array(features),
         np.array([path[f][0] for f in features]),
