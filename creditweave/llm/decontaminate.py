@@ -44,11 +44,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 36
 LEAST_BOUND = 8
-MOST_BITS = 1 << 27
-BITS_PER_KEY = 16
+MOST_BITS = 1 << 28
+BITS_PER_KEY = 64
 
 _ODD = np.uint64(0x100000001B3)
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
+_PROBES = np.random.default_rng(7).integers(1, 1 << 63, 8, np.uint64) | np.uint64(1)
 
 
 def _inverse(odd: int) -> int:
@@ -150,7 +151,7 @@ def window_keys(hashes: np.ndarray, bounds: np.ndarray, bound: int) -> tuple[np.
 
 
 class Bloom:
-    """Membership with three probes in a power of two of bits, as one byte string."""
+    """Membership with eight probes in a power of two of bits."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -170,14 +171,16 @@ class Bloom:
         return bloom
 
     def _places(self, keys: np.ndarray) -> list[np.ndarray]:
-        odd = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
-        return [(keys * factor) >> self.shift for factor in odd]
+        return [self._place(keys, probe) for probe in range(len(_PROBES))]
+
+    def _place(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (keys * _PROBES[probe]) >> self.shift
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         left = np.arange(len(keys))
-        for place in self._places(keys):
-            here = place[left]
-            left = left[(self.bits[here >> np.uint64(3)] >> (here & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        for probe in range(len(_PROBES)):
+            place = self._place(keys[left], probe)
+            left = left[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
         out = np.zeros(len(keys), bool)
         out[left] = True
         return out
