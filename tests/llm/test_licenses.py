@@ -26,7 +26,9 @@ def brute(values, entries=4, looked_up=12, agreeing=2, least=0.75):
         rare = [w for w in indexed if w in found][:looked_up]
         labels, best = {BASE_PHRASES[p] for p, at in base.items() if at}, 0.0
         for number, t in enumerate(TEMPLATES):
-            for at in range(-len(t.words), len(found)) if set(found) & vocabulary else ():
+            # The key phrase is mandatory, so its first word gives every possible start.
+            first = t.phrase.split()[0]
+            for at in (i - t.phrase_at for i, w in enumerate(found) if w == first):
                 def stands(j):
                     return 0 <= at + j < len(found) and found[at + j] == t.words[j]
                 votes = sum(stands(j) for j, w in enumerate(t.words) if w in rarest[number] and w in rare)
