@@ -9,8 +9,9 @@ A conversation is rebuilt from events ordered by `seq`. Kinds:
 
 Folding is associative: a stretch of events becomes whether it starts afresh, and the text since
 then; two stretches combine to a third. So stretches of `STRETCH` sequence numbers are folded
-first, then messages, then stretches of messages, then conversations. A long conversation
-reaches its last task as few rows, not as one row for each event.
+first, then messages, then stretches of messages, then conversations. The text moves twice: to
+its stretch, and to its conversation. A long conversation reaches its last task as a row for
+each message and stretch, not for each event.
 
 The template is `<s>[INST] role [/INST]text</s>` for each message. A control string inside a role
 or text gets a backslash after its first character, and one that has backslashes there already
@@ -71,6 +72,8 @@ def fold(events: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("fresh", F.col("kind") != "delta")
+    # Stretches are dealt out by themselves, so a hot conversation is folded in many tasks.
+    parts = parts.repartition("conv_id", "stretch")
     stretches = parts.groupBy("conv_id", "message", "stretch").agg(
         F.min(F.struct("seq", "kind", "role")).alias("first"),
         F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text", "fresh"))).alias("parts"),
@@ -79,8 +82,11 @@ def fold(events: DataFrame) -> DataFrame:
         "conv_id", "message", "first",
         F.struct("stretch", _any_fresh(F.col("parts")).alias("fresh"), _joined(F.col("parts")).alias("text")).alias("part"),
     )
+    # From here on a conversation stays in one task, as its text does in the end: none of the
+    # groupings below, by conversation and more, moves the rows again.
     return (
-        stretches.groupBy("conv_id", "message")
+        stretches.repartition("conv_id")
+        .groupBy("conv_id", "message")
         .agg(F.min("first").alias("first"), F.array_sort(F.collect_list("part")).alias("parts"))
         .select(
             "conv_id", "message",
