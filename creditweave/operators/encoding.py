@@ -23,10 +23,12 @@ from pyspark.sql import types as T
 
 from creditweave.functions.labels import feature_label
 from creditweave.operators.quantiles import exact_quantiles
-from creditweave.sources.workspace import Stored
+from creditweave.sources.workspace import Stored, store
 
 FEATURES = "features"
 MISSING_CATEGORY = "missing"
+# Vocabularies become stages of the model, which the driver holds; a wider column is an error.
+MOST_CATEGORIES = 10_000
 
 
 def column_kinds(frame: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -130,14 +132,19 @@ def fit_encoder(train: Stored, features: Sequence[str], scaled: bool) -> Encoder
     vocabulary: dict[str, list[str]] = {c: [] for c in categorical}
     mode_of: dict[str, str] = {}
     if categorical:
-        counts = category_counts(frame, categorical)
+        counts = store(category_counts(frame, categorical), "categories").frame
         per_column = counts.groupBy("column_name").agg(
-            F.array_sort(F.collect_list("value")).alias("values"),
+            F.count(F.lit(1)).alias("values"),
             F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("mode"),
         )
         for row in per_column.collect():
-            vocabulary[row["column_name"]] = list(row["values"])
+            if row["values"] > MOST_CATEGORIES:
+                raise ValueError(
+                    f"{row['column_name']} has {row['values']} categories, more than {MOST_CATEGORIES}"
+                )
             mode_of[row["column_name"]] = row["mode"]
+        for row in counts.select("column_name", "value").orderBy("column_name", "value").collect():
+            vocabulary[row["column_name"]].append(row["value"])
     for c in categorical:
         if not vocabulary[c]:
             vocabulary[c], mode_of[c] = [MISSING_CATEGORY], MISSING_CATEGORY

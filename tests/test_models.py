@@ -187,3 +187,14 @@ def test_reasons_are_positive_distinct_and_padded(spark):
     assert got[2] == ["Higher risk: B", None, None] and got[3] == [None] * 3
     table = reasons.feature_importance(rows, ["A", "B", "B", "C"], "m").orderBy("rank").collect()
     assert [(r["feature_name"], r["rank"]) for r in table] == [("B", 1), ("A", 2), ("C", 3)]
+
+
+def test_too_many_categories_are_an_error(spark, monkeypatch):
+    from creditweave.operators import encoding
+
+    rows = spark.range(30).selectExpr("concat('c', id % 7) as text", "cast(id as double) as number")
+    kept = store(rows)
+    assert encoding.fit_encoder(kept, ["text", "number"], False).vocabulary["text"] == [f"c{i}" for i in range(7)]
+    monkeypatch.setattr(encoding, "MOST_CATEGORIES", 6)
+    with pytest.raises(ValueError, match="text has 7 categories"):
+        encoding.fit_encoder(kept, ["text", "number"], False)
