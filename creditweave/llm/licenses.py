@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters, digits and longer characters, with A-Z lowered. Templates are
 short notices; a template's index entries are its words of highest IDF over all files. A file is
-looked up by its own licence words of highest IDF: each of their places, less the word's place in
-a template, gives a start. Starts on which `least_agreeing` looked-up words agree are
+looked up by its words that the index holds, all or those of highest IDF: each of their places,
+less the word's place in a template, gives a start. Starts on which `least_agreeing` looked-up words agree are
 candidates. A candidate counts if the template's mandatory key phrase stands in full at its
 place, and if the words that stand at theirs hold `least_share` of the template's IDF.
 
@@ -114,14 +114,15 @@ def scan(
     text: str = "text",
     templates: tuple[Template, ...] = TEMPLATES,
     entries: int = 4,
-    looked_up: int = 12,
+    looked_up: int | None = 12,
     least_agreeing: int = 2,
     least_share: float = 0.75,
 ) -> DataFrame:
     """Add `n_words`, `n_base`, `first_word`, `last_word`, `base_labels`, `labels`, `score`, `places`.
 
     `entries` is the number of a template's words in the index, `looked_up` the number of a
-    file's distinct licence words that are searched. `places` are the template finds.
+    file's distinct licence words that are searched, None for all of them: with fewer, a file of
+    many notices loses labels. `places` are the template finds.
     """
     vocabulary = sorted({word for t in templates for word in t.words})
     idf = word_idf(documents, text, vocabulary)
@@ -168,7 +169,8 @@ def scan(
     none = F.array().cast("array<struct<template:int,at:int>>")
     tagged = documents.withColumn(w, file_words(text))
     # In order of IDF, so that the first are the file's rarest.
-    tagged = tagged.withColumn(rare, F.slice(F.array_intersect(_strings(by_idf), found), 1, looked_up))
+    held = F.array_intersect(_strings(by_idf), found)
+    tagged = tagged.withColumn(rare, held if looked_up is None else F.slice(held, 1, looked_up))
     hits = F.filter(
         F.transform(found, lambda word, i: F.struct(word.alias("word"), i.alias("i"))),
         lambda hit: F.array_contains(F.col(rare), hit["word"]),

@@ -81,7 +81,7 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return licenses.scan(documents).drop("text", "places")
+    return licenses.scan(documents, looked_up=None).drop("text", "places")
 
 
 def sharded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,21 @@ def test_empty_table_and_clashing_columns(spark):
     one = scan(documents(spark, [(None, LINES[1], "w", "l")], "words string, labels string")).first()
     assert (one.doc_id, one.words, one.labels) == (None, "w", "mit")
     assert licenses.word_idf(documents(spark, []), "text", ["mit"]) == {"mit": 1.0}
+
+
+def test_file_of_all_notices_keeps_every_label(spark):
+    values = [" ; ".join(t.notice for t in TEMPLATES), "\n".join(t.notice for t in reversed(TEMPLATES)), *texts(), *LINES]
+    files = [words(v) for v in values]
+    rows = {r.doc_id: r for r in scan(numbered(spark, values), looked_up=None).collect()}
+    for i, found in enumerate(files):
+        # Every template at every place, whole notices only.
+        whole = {t.label for t in TEMPLATES for at in range(len(found)) if found[at : at + len(t.words)] == t.words}
+        assert whole <= set(rows[i].labels.split(",")), values[i]
+    assert set(rows[0].labels.split(",")) == set(rows[1].labels.split(",")) == {t.label for t in TEMPLATES}
+
+
+def test_query_looks_up_all_words(spark, tmp_path):
+    from creditweave.llm.queries import license_scan
+
+    documents(spark, [(1, " ; ".join(t.notice for t in TEMPLATES))]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert set(license_scan(spark, str(tmp_path)).first().labels.split(",")) == {t.label for t in TEMPLATES}
