@@ -67,7 +67,7 @@ def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.quality_rules(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return quality.quality_rules(documents, public_tokenizers.path("piece_bpe_32k.model"), bands=quality.MEASURED).drop("text")
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

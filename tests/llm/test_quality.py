@@ -77,3 +77,26 @@ def test_empty_table_and_clashing_columns(spark):
     assert empty.count() == 0 and empty.schema["script"].dataType.simpleString() == "string"
     one = quality_rules(documents(spark, [(None, prose(2, 50), "x")], "note string"), PATH).first()
     assert one.note == "x" and one.script == "latin" and one.kept
+
+
+def test_measured_floor_rejects_low_quality_and_judges_short_texts(spark):
+    from creditweave.llm.queries import is_held_out, quality_rules as query
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(is_held_out("doc_id")).dropDuplicates(["doc_id"])
+    rows = [r for r in query(spark, sf).join(labels, "doc_id").collect() if not r.base_failed]
+    bad, good = ([r for r in rows if r.quality == q] for q in (0, 1))
+    assert bad and sum(r.kept for r in bad) < 0.5 * len(bad)
+    assert sum(not r.kept for r in good) <= 0.05 * len(good)
+
+
+def test_floor_depends_on_length(spark):
+    from dataclasses import replace
+
+    from creditweave.llm.quality import BANDS
+
+    # 12 and 300 words of the same few: both are below the least tokens or judged by the floor.
+    frame = documents(spark, [(1, "tree river stone " * 4), (2, prose(1, 300)), (3, prose(1, 12))])
+    bands = BANDS | {"latin": replace(BANDS["latin"], least_tokens=10_000, floor=((1, 0.0), (16, 3.0), (256, 7.0)))}
+    got = {r.doc_id: (r.base_failed, r.kept, r.entropy) for r in quality_rules(frame, PATH, bands=bands, most_repeated=100).collect()}
+    assert got[1][:2] == (False, False) and got[2][:2] == (False, False) and got[3][:2] == (False, True), got
