@@ -5,23 +5,29 @@ over to forms of a word that no example has. Fitting takes a bounded sample of l
 (`sample_rows`, those with the smallest hash of their id):
 
 * Of examples with equal texts one counts, so that copies are no evidence for their words.
-* Terms are chosen by their squared correlation with the label (chi-square over the number of
-  examples, at least `least_phi`); at most `most_terms`, those with the highest value.
-  Document frequencies are those of the sample.
-* Each example becomes a TF-IDF vector of unit length over the chosen terms, and the vectors an
-  inverted index: for each term the weights of the examples that have it. Examples are numbered
-  in blocks and every term knows its largest weight in each block.
+* Every term of every example is indexed. Only if there are more than `most_terms`, those of
+  the lowest document frequency are left out. `least_phi`, off by default, keeps terms of a squared
+  correlation with the label only.
+* Document frequencies are those of all documents: exact for indexed terms, and for terms that
+  no example has in `BUCKETS` hash buckets. The latter only lengthen a text's vector.
+* The IDF of a term that `least_rows` examples have is raised by its correlation with the label
+  (times `emphasis`). No term is left out or lowered by it: else the many terms of a long text
+  drown the few that matter.
+* Each example becomes a TF-IDF vector of unit length, and the vectors an inverted index: for
+  each term the weights of the examples that have it. Examples are numbered in blocks, and each
+  term that many examples have knows its largest weight in each block.
 * Votes are calibrated: the leave-one-out votes of the examples are binned and made monotone.
 
-The index has at most `sample_rows` x `most_terms` weights whatever the size of the corpus, so
-tasks get it by broadcast. A text is scored whole, in its task: its vector's bound for each
-block is the sum of the block's largest weights; blocks are opened in descending order of the
-bound until none can hold a nearer example. The search is exact; ties go to the smaller
+The index is as large as the texts of the sample, whatever the size of the corpus, so tasks get
+it by broadcast. A text is scored whole, in its task: the postings of its rarer terms are added up
+for every example, and the bound for a block is its highest such sum and the sum of the block's
+largest weights of the common terms; blocks are opened in descending order of the bound until
+none can hold a nearer example. The search is exact; ties go to the smaller
 example id. The vote is the mean label of the `k` nearest, weighted by cosine, with the share of
 toxic examples as a prior of weight `prior`.
 
-A text without any chosen term, such as a null or empty one, has no cosine; it gets the share
-of toxic examples among those that have no chosen term either. Labels without an id or value are
+A text without any indexed term, such as a null or empty one, has no cosine; it gets the share
+of toxic examples among those that have no indexed term either. Labels without an id or value are
 not used; of several labels of an id the highest counts. Without any example every score is 0.
 Repeated rows are scored alike. All columns of the input are kept; those named like an output
 are replaced.
@@ -30,11 +36,12 @@ are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +52,17 @@ from creditweave.sources.workspace import store
 GRAM = 6
 BLOCK = 64
 EVIDENCE = 3
+BUCKETS = 1 << 20
+COMMON = 128
 
 
 @dataclass(frozen=True)
 class Fit:
     sample_rows: int = 8192
-    most_terms: int = 2048
-    least_phi: float = 0.015
+    most_terms: int = 1 << 20
+    least_phi: float = 0.0
     least_rows: int = 5
+    emphasis: float = 30.0
     k: int = 25
     prior: float = 0.5
     bins: int = 20
@@ -99,25 +109,68 @@ def _counted(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each example with its distinct terms and their counts."""
     for batch in batches:
-        ids = batch["example"].to_numpy(zero_copy_only=False)
-        labels = batch["label"].to_numpy(zero_copy_only=False)
-        for start, _, terms, texts in _terms(batch["text"]):
+        for start, end, terms, texts in _terms(batch["text"]):
             text, term, count = _counted(texts, terms)
+            bounds = pa.array(np.searchsorted(text, np.arange(end - start + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids[start + text]),
-                    pa.array(labels[start + text]),
-                    pa.array(term.view(np.int64)),
-                    pa.array(count),
+                    batch["example"][start:end],
+                    batch["label"][start:end],
+                    pa.ListArray.from_arrays(bounds, pa.array(term.view(np.int64))),
+                    pa.ListArray.from_arrays(bounds, pa.array(count.astype(np.int32))),
                 ],
                 names=["example", "label", "term", "n"],
             )
 
 
+def _numbers(known: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The places of terms among the known ones; others get one of `BUCKETS` numbers above."""
+    other = len(known) + (terms >> np.uint64(40)).astype(np.int64) % BUCKETS
+    if not len(known):
+        return other
+    place = np.searchsorted(known, terms)
+    place[place == len(known)] = 0
+    return np.where(known[place] == terms, place, other)
+
+
+def _counted_numbers(text: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_counted`, for numbers below 2^32; sorts one array."""
+    pairs = np.sort(text.astype(np.int64) << 32 | number)
+    places = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    return pairs[places] >> 32, pairs[places] & 0xFFFFFFFF, np.diff(np.concatenate([places, [len(pairs)]]))
+
+
+def _document_frequencies(documents: DataFrame, text: str, known: np.ndarray) -> np.ndarray:
+    """Texts that hold each known term, and then those of each bucket of other terms."""
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value) + BUCKETS, np.int64)
+        for batch in batches:
+            for _, _, terms, texts in _terms(batch.column(0)):
+                _, number, _ = _counted_numbers(texts, _numbers(shared.value, terms))
+                total += np.bincount(number, minlength=len(total))
+        held = np.flatnonzero(total)
+        for at in range(0, len(held), 1 << 16):
+            some = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["number", "n"])
+
+    parts = documents.select(text).mapInArrow(counts, "number bigint, n bigint")
+    found = parts.groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(known) + BUCKETS)
+    out[found["number"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
-    """The model that tasks get. Rows of `weights` and `largest` are terms, in hash order."""
+    """The model that tasks get.
+
+    Terms are in hash order, those of `weights` by `bounds`; `idf` goes on with the buckets of
+    other terms. Rows of `largest` and of `dense` (block, example, term) are the common terms.
+    """
 
     terms: np.ndarray
     idf: np.ndarray
@@ -126,20 +179,34 @@ class Index:
     bounds: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
+    common: np.ndarray
     largest: np.ndarray
+    dense: np.ndarray
     edges: np.ndarray
     levels: np.ndarray
     without_terms: float
     fit: Fit
 
-    def vector(self, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def vector(self, places: np.ndarray, counts: np.ndarray, others: float = 0.0) -> np.ndarray:
+        """Weights of the indexed terms; `others` is the squared weight of the text's other terms."""
         weights = (1.0 + np.log(counts)) * self.idf[places]
-        return weights / np.sqrt(weights @ weights)
+        return weights / np.sqrt(weights @ weights + others)
 
     def nearest(self, places: np.ndarray, query: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the nearest examples, by blocks in descending order of bound."""
         k, n = self.fit.k, len(self.examples)
-        bound = query @ self.largest[places]
+        at = self.common[places]
+        rare = at < 0
+        wide = np.zeros(len(self.largest))
+        wide[at[~rare]] = query[~rare]
+        runs = [slice(a, b) for a, b in zip(self.bounds[places[rare]].tolist(), self.bounds[places[rare] + 1].tolist(), strict=True)]
+        sums = np.zeros(self.dense.shape[:2])
+        if runs:
+            weighted = np.concatenate([self.weights[run] for run in runs])
+            weighted *= np.repeat(query[rare], [run.stop - run.start for run in runs])
+            rows = np.concatenate([self.rows[run] for run in runs])
+            sums = np.bincount(rows, weighted, sums.size).reshape(-1, BLOCK)
+        bound = sums.max(1) + wide @ self.largest
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         held_rows, held = np.zeros(0, np.int64), np.zeros(0)
@@ -148,17 +215,14 @@ class Index:
             if len(held) >= k and bound[order[at]] < held[k - 1] - 1e-9:
                 break
             opened = np.sort(order[at : at + step])
-            at, step = at + step, step * 2
-            scores = np.zeros(len(opened) * BLOCK)
-            for place, weight in zip(places, query, strict=True):
-                a, b = self.bounds[place], self.bounds[place + 1]
-                rows = self.rows[a:b]
-                slot = np.searchsorted(opened, rows // BLOCK)
-                slot[slot == len(opened)] = 0
-                mine = opened[slot] == rows // BLOCK
-                scores[slot[mine] * BLOCK + rows[mine] % BLOCK] += weight * self.weights[a:b][mine]
+            at, step = at + step, step * 4
+            # Of many blocks all are multiplied, which copies none.
+            products = (self.dense @ wide)[opened] if 4 * len(opened) > len(sums) else self.dense[opened] @ wide
+            scores = (sums[opened] + products).ravel()
             rows = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             some = (scores > 0) & (rows < n) & (rows != leave)
+            if len(held) >= k:
+                some &= scores >= held[k - 1] - 1e-9
             held_rows = np.concatenate([held_rows, rows[some]])
             held = np.concatenate([held, scores[some]])
             # Cosines that differ by rounding only are ties.
@@ -220,70 +284,105 @@ def fit_index(
         F.min(F.struct("example", "text")).alias("one"), F.max("label").alias("label")
     )
     sample = sample.select("one.example", "label", "one.text")
-    found = store(
-        sample.mapInArrow(_examples, "example bigint, label int, term bigint, n bigint"), "toxicity-terms"
+    vectors = store(
+        sample.mapInArrow(_examples, "example bigint, label int, term array<bigint>, n array<int>"),
+        "toxicity-terms",
     ).frame
-    total = sample.agg(F.count("*").alias("rows"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    rows, toxic = float(total["rows"]), float(total["toxic"])
-    counts = found.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("hit"))
-    miss = F.lit(rows) - F.col("df")
-    cross = F.col("hit") * (F.lit(rows - toxic) - (F.col("df") - F.col("hit"))) - (F.col("df") - F.col("hit")) * (F.lit(toxic) - F.col("hit"))
-    phi = F.try_divide(cross * cross, F.col("df") * miss * F.lit(toxic) * F.lit(rows - toxic))
-    terms = (
-        counts.filter(F.col("df") >= fit.least_rows)
-        .withColumn("phi", phi)
-        .filter(F.col("phi") >= fit.least_phi)
-        .orderBy(F.desc("phi"), "term")
-        .limit(fit.most_terms)
-    )
-    terms = store(terms.select("term", "df"), "toxicity-chosen").frame
-    kept = found.join(F.broadcast(terms), "term").toPandas()
-    everyone = sample.select("example", "label").toPandas().sort_values("example")
-    return _index(everyone, kept, rows, fit)
-
-
-def _index(everyone, kept, rows: float, fit: Fit) -> Index:
-    terms, dfs = [], []
-    for term, group in kept.groupby("term")["df"].first().items():
-        terms.append(term)
-        dfs.append(group)
-    unsigned = np.array(terms, np.int64).view(np.uint64)
-    order = np.argsort(unsigned)
-    unsigned, dfs = unsigned[order], np.array(dfs, float)[order]
+    rows = float(documents.count())
+    return _index(vectors.toArrow(), lambda known: _document_frequencies(documents, text, known), rows, fit)
+
+
+def _related(term: np.ndarray, label: np.ndarray, rows: float, toxic: float, size: int) -> np.ndarray:
+    """Squared correlation of each term with the label."""
+    df = np.bincount(term, minlength=size).astype(float)
+    hit = np.bincount(term, label, size)
+    cross = hit * (rows - toxic - (df - hit)) - (df - hit) * (toxic - hit)
+    below = df * (rows - df) * toxic * (rows - toxic)
+    return np.divide(cross * cross, below, out=np.zeros(size), where=below > 0)
+
+
+def _index(found: pa.Table, frequencies, rows: float, fit: Fit) -> Index:
+    """`frequencies` gives document frequencies of terms, `rows` is the number of documents."""
+    ids = found["example"].to_numpy()
+    everyone = found["label"].to_numpy().astype(float)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(found["term"]).to_numpy())
+    terms = pc.list_flatten(found["term"]).to_numpy().view(np.uint64)
+    count = pc.list_flatten(found["n"]).to_numpy()
+    # Arrays of all postings are the driver's largest; each goes as soon as it is used.
+    del found
+    order = np.argsort(terms)
+    terms = terms[order]
+    new = np.ones(len(terms), bool)
+    new[1:] = terms[1:] != terms[:-1]
+    unsigned = terms[new]
+    del terms
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order, new
+    if fit.least_phi > 0:
+        related = _related(place, everyone[owner], float(len(ids)), everyone.sum(), len(unsigned))
+        unsigned, place, owner, count = _only(related >= fit.least_phi, unsigned, place, owner, count)
+    dfs = frequencies(unsigned)
+    if len(unsigned) > fit.most_terms:
+        most = np.zeros(len(unsigned), bool)
+        most[np.argsort(-dfs[: len(unsigned)], kind="stable")[: fit.most_terms]] = True
+        unsigned, place, owner, count = _only(most, unsigned, place, owner, count)
+        dfs = frequencies(unsigned)
     idf = np.log((1.0 + rows) / (1.0 + dfs)) + 1.0
-    place = np.searchsorted(unsigned, kept["term"].to_numpy(np.int64).view(np.uint64))
-    kept = kept.assign(place=place, weight=(1.0 + np.log(kept["n"].to_numpy(float))) * idf[place])
-    norms = np.sqrt(kept.assign(square=kept["weight"] ** 2).groupby("example")["square"].sum())
+    related = _related(place, everyone[owner], float(len(ids)), everyone.sum(), len(unsigned))
+    related[np.bincount(place, minlength=len(unsigned)) < fit.least_rows] = 0.0
+    idf[: len(unsigned)] *= 1.0 + fit.emphasis * np.sqrt(related)
+    weight = (1.0 + np.log(count)) * idf[place]
+    del count
+    norms = np.sqrt(np.bincount(owner, weight**2, len(ids)))
+    weight /= norms[owner]
     # Examples that share their heaviest term get neighbouring numbers, so that a block holds
     # like examples and its largest weights are tight bounds.
-    heaviest = kept.sort_values(["weight", "term"]).groupby("example")["place"].last()
-    indexed = everyone[everyone["example"].isin(norms.index)]
-    indexed = indexed.assign(near=heaviest.loc[indexed["example"]].to_numpy()).sort_values(["near", "example"])
-    labels = indexed["label"].to_numpy(float)
-    examples = indexed["example"].to_numpy(np.int64)
-    by_id = np.argsort(examples)
-    number = by_id[np.searchsorted(examples, kept["example"].to_numpy(np.int64), sorter=by_id)]
-    weight = kept["weight"].to_numpy() / norms.loc[kept["example"]].to_numpy()
-    by_term = np.lexsort((number, kept["place"].to_numpy()))
-    place, number, weight = kept["place"].to_numpy()[by_term], number[by_term], weight[by_term]
-    bounds = np.searchsorted(place, np.arange(len(unsigned) + 1))
-    largest = np.zeros((len(unsigned), -(-max(1, len(examples)) // BLOCK)))
-    np.maximum.at(largest, (place, number // BLOCK), weight)
-    without = everyone[~everyone["example"].isin(norms.index)]["label"]
-    share = float(everyone["label"].mean()) if len(everyone) else 0.0
+    starts = np.searchsorted(owner, np.arange(len(ids) + 1))
+    heaviest = np.full(len(ids), -1)
+    for i in np.flatnonzero(np.diff(starts)):
+        heaviest[i] = place[starts[i] + np.argmax(weight[starts[i] : starts[i + 1]])]
+    indexed = np.flatnonzero(norms > 0)
+    indexed = indexed[np.lexsort((ids[indexed], heaviest[indexed]))]
+    labels, examples = everyone[indexed], ids[indexed]
+    renumbered = np.full(len(ids), -1)
+    renumbered[indexed] = np.arange(len(indexed))
+    by_term = np.argsort(place, kind="stable")
+    rows_by_term, weights_by_term = renumbered[owner[by_term]], weight[by_term]
+    del by_term, owner
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(unsigned)))])
+    # Terms of a quarter of the examples or more, at most `COMMON`, are held densely.
+    held_by = np.diff(bounds)
+    often = np.argsort(-held_by, kind="stable")[:COMMON]
+    often = often[held_by[often] * 4 >= max(1, len(examples))]
+    common = np.full(len(unsigned), -1)
+    common[often] = np.arange(len(often))
+    dense = np.zeros((-(-max(1, len(examples)) // BLOCK), BLOCK, len(often)))
+    for at, term in enumerate(often):
+        some = slice(bounds[term], bounds[term + 1])
+        dense[rows_by_term[some] // BLOCK, rows_by_term[some] % BLOCK, at] = weights_by_term[some]
+    without = everyone[norms == 0]
+    share = float(everyone.mean()) if len(everyone) else 0.0
     apart = (float(without.sum()) + share) / (len(without) + 1.0)
-    index = Index(unsigned, idf, examples, labels, bounds, number, weight, largest, np.array([0.0, 1.0]), np.array([0.0, 1.0]), apart, fit)
-    by_example = np.argsort(number, kind="stable")
-    starts = np.searchsorted(number[by_example], np.arange(len(examples) + 1))
+    line = np.array([0.0, 1.0])
+    index = Index(
+        unsigned, idf, examples, labels, bounds, rows_by_term, weights_by_term, common, dense.max(1).T.copy(), dense, line, line, apart, fit
+    )
     votes = np.array(
         [
-            index.vote(*index.nearest(place[some], weight[some], leave=i), share)
-            for i in range(len(examples))
-            for some in [by_example[starts[i] : starts[i + 1]]]
+            index.vote(*index.nearest(place[some], weight[some], leave=renumbered[i]), share)
+            for i in indexed
+            for some in [slice(starts[i], starts[i + 1])]
         ]
     )
     edges, levels = _calibrate(votes, labels, fit.bins)
-    return Index(unsigned, idf, examples, labels, bounds, number, weight, largest, edges, levels, apart, fit)
+    return replace(index, edges=edges, levels=levels)
+
+
+def _only(kept: np.ndarray, unsigned, place, owner, count):
+    """The terms kept, numbered anew, and their postings."""
+    number, some = np.cumsum(kept) - 1, kept[place]
+    return unsigned[kept], number[place[some]], owner[some], count[some]
 
 
 _RESULT = "score double, evidence array<struct<example:bigint,cosine:double,toxic:int>>"
@@ -293,14 +392,15 @@ def _score_batch(index: Index, share: float, texts: pa.Array) -> pa.StructArray:
     scores = np.full(len(texts), index.without_terms)
     evidence: list[list[dict]] = [[] for _ in range(len(texts))]
     if len(index.terms):
-        for start, _, terms, of in _terms(texts):
-            place = np.searchsorted(index.terms, terms)
-            place[place == len(index.terms)] = 0
-            hit = index.terms[place] == terms
-            text, places, counts = _counted(of[hit], place[hit])
+        for start, end, terms, of in _terms(texts):
+            text, number, counts = _counted_numbers(of, _numbers(index.terms, terms))
+            hit = number < len(index.terms)
+            squares = ((1.0 + np.log(counts[~hit])) * index.idf[number[~hit]]) ** 2
+            others = np.bincount(text[~hit], squares, end - start)
+            text, places, counts = text[hit], number[hit], counts[hit]
             bounds = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else [0]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                query = index.vector(places[a:b], counts[a:b])
+                query = index.vector(places[a:b], counts[a:b], others[text[a]])
                 rows, cosines = index.nearest(places[a:b], query)
                 scores[start + text[a]] = index.calibrated(index.vote(rows, cosines, share))
                 evidence[start + text[a]] = [

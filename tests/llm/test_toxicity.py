@@ -85,3 +85,22 @@ def test_sample_is_bounded(spark):
     fit = toxicity.Fit(sample_rows=120, most_terms=5)
     index = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), fit, "text", "doc_id", "toxic")
     assert len(index.examples) <= 120 and len(index.terms) <= 5
+
+
+def test_whole_text_counts(spark):
+    """Every example is indexed over all its terms, and every text with words gets evidence."""
+    rows, labels = corpus(spark, 200)
+    rows = [*rows, (900, "quorvax plimber"), (901, "quorvax plimber dostrane"), (902, "zzqwert")]
+    labels = [*labels, (900, 0)]
+    index = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), toxicity.Fit(), "text", "doc_id", "toxic")
+    assert sorted(index.examples) == sorted({i for i, _ in labels})
+    got = {r.doc_id: r for r in toxicity.toxicity(documents(spark, rows), label_frame(spark, labels)).collect()}
+    assert all(got[i].evidence for i, _ in rows if i != 902) and not got[902].evidence
+    nearest = got[901].evidence[0]
+    # 901 has all terms of 900, and of its own one word and its three grams. Six-byte grams:
+    # quorva uorvax, plimbe limber, dostra ostran strane.
+    n = len(rows)
+    shared, own = [np.log((1 + n) / 3) + 1] * 6, [np.log((1 + n) / 2) + 1] * 4
+    want = np.sqrt(np.square(shared).sum() / np.square(shared + own).sum())
+    assert nearest.example == 900 and abs(nearest.cosine - want) < 1e-9
+    assert abs(got[900].evidence[0].cosine - 1) < 1e-9
