@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweave.llm import chat, licenses, mixing, quality, sharding, simhash, tokens, toxicity, warc
+from creditweave.llm import chat, licenses, mixing, negatives, quality, sharding, simhash, tokens, toxicity, warc
 from creditweave.llm.decontaminate import leaks
 
 
@@ -102,6 +102,12 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "containment")
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("key") % 50 == 0)
+
+
 def llm_queries() -> dict:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -114,6 +120,7 @@ def llm_queries() -> dict:
         "op8_license_scan": license_scan,
         "op9_sharding": sharded_documents,
         "op10_benchmark_decontamination": benchmark_decontamination,
+        "op12_hard_negatives": hard_negatives,
     }
 
 
@@ -162,9 +169,33 @@ GROUP BY doc_id, item_id, n HAVING CAST(count(*) AS DOUBLE) / n >= 0.8
 """
 
 
+_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same,
+    CAST(coalesce(list_inner_product(a.v, r.v), 0) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, row_id) AS INTEGER) AS rank,
+  row_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op1_chat_formatting": _CHAT,
         "op4_warc": _WARC,
         "op10_benchmark_decontamination": _DECONTAMINATION,
+        "op12_hard_negatives": _NEGATIVES,
     }
