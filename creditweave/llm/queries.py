@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweave.llm import chat, licenses, mixing, negatives, quality, sharding, simhash, tokens, toxicity, warc
+from creditweave.llm import chat, collocations, licenses, mixing, negatives, quality, sharding, simhash, tokens, toxicity, warc
 from creditweave.llm.decontaminate import leaks
 
 
@@ -102,6 +102,10 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "containment")
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -120,6 +124,7 @@ def llm_queries() -> dict:
         "op8_license_scan": license_scan,
         "op9_sharding": sharded_documents,
         "op10_benchmark_decontamination": benchmark_decontamination,
+        "op11_phrase_collocations": phrase_collocations,
         "op12_hard_negatives": hard_negatives,
     }
 
@@ -169,6 +174,46 @@ GROUP BY doc_id, item_id, n HAVING CAST(count(*) AS DOUBLE) / n >= 0.8
 """
 
 
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (
+  SELECT lang, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM pieces),
+words AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM worded),
+five AS (
+  SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5
+  FROM words WINDOW o AS (PARTITION BY p ORDER BY i)),
+grams AS (
+  SELECT lang, w1 AS phrase, 1 AS k FROM five
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM five WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM five WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM five WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, 5 FROM five WHERE w5 IS NOT NULL),
+counted AS (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 100),
+ends AS (
+  SELECT lang, array_to_string(w[1 : k - 1], ' ') AS phrase, f FROM frequent WHERE k > 2
+  UNION ALL SELECT lang, array_to_string(w[2 : k], ' '), f FROM frequent WHERE k > 2),
+explained AS (SELECT lang, phrase, max(f) AS most FROM ends GROUP BY ALL),
+candidates AS (
+  SELECT c.lang, c.phrase, c.w, c.k, c.f FROM frequent c LEFT JOIN explained e ON c.lang = e.lang AND c.phrase = e.phrase
+  WHERE c.k > 1 AND coalesce(100 * e.most < 100 * c.f, TRUE)),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, n, cut,
+    CAST(CAST(1000 AS HUGEINT) * c.f * n // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counted h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1 : cut], ' ')
+  JOIN counted t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[cut + 1 : c.k], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored QUALIFY rank <= 2000
+"""
+
 _NEGATIVES = """
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -197,5 +242,6 @@ def llm_oracles() -> dict[str, str]:
         "op1_chat_formatting": _CHAT,
         "op4_warc": _WARC,
         "op10_benchmark_decontamination": _DECONTAMINATION,
+        "op11_phrase_collocations": _COLLOCATIONS,
         "op12_hard_negatives": _NEGATIVES,
     }
