@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditweave.llm import chat, collocations, licenses, mixing, negatives, quality, sharding, simhash, tokens, toxicity, warc
+from creditweave.llm import chat, collocations, licenses, mixing, negatives, personal, quality, sharding, simhash, tokens, toxicity, warc
 from creditweave.llm.decontaminate import leaks
 
 
@@ -112,6 +112,23 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved), F.col("key") % 50 == 0)
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.personal_data(documents, personal.fit_tagger(documents))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def counted(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("personal", lambda s: s["base"])
+    counts = [counted(kind) for kind in personal.KINDS]
+    return found.withColumn("base", base).select(
+        "doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("personal").alias("spans")
+    )
+
+
 def llm_queries() -> dict:
     return {
         "op1_chat_formatting": chat_formatting,
@@ -126,6 +143,7 @@ def llm_queries() -> dict:
         "op10_benchmark_decontamination": benchmark_decontamination,
         "op11_phrase_collocations": phrase_collocations,
         "op12_hard_negatives": hard_negatives,
+        "op13_personal_data": personal_data,
     }
 
 
