@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -16,11 +14,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditweave.operators.encoding import FEATURES, Encoder, fit_encoder
 from creditweave.operators.reasons import linear_contributions
+from creditweave.operators.tree_paths import Paths, collected, explained, leaf_paths, saved_nodes
 from creditweave.settings import Settings
 from creditweave.sources.workspace import Stored, new_path, shared_folder, store
 
@@ -299,95 +298,22 @@ def logistic_contributions(
     return model.encoded(rows).select(*keys, found.alias("contributions"))
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """One leaf: the box of its path and the Shapley value of every path feature.
-
-    ``values[b, j]`` is the contribution of feature j when bit i of b says whether the row lies
-    inside the box for feature i.
-    """
+def tree_paths(model: FittedModel, spark: SparkSession) -> Paths:
+    """The leaf paths of a fitted ensemble in log-odds, from its saved node table."""
+    path = new_path(spark, "trees")
+    model.classifier.write().save(path)
+    nodes = saved_nodes(spark, path)
+    # The margin is twice the weighted sum of the trees.
+    return collected(leaf_paths(nodes.withColumn("weight", 2.0 * F.col("weight"))))
 
-    features: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    values: np.ndarray
-
-
-def _leaf(value: float, path: dict[int, list[float]]) -> Leaf:
-    """``path`` maps a feature to [low, high, share of rows that reach the leaf's side]."""
-    features = sorted(path)
-    d = len(features)
-    share = [path[f][2] for f in features]
-    weight = [math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)]
-    # Row b of every table is for the rows whose box memberships are the bits of b.
-    inside = np.arange(1 << d)[:, None] >> np.arange(d) & 1
-    values = np.zeros((1 << d, d))
-    for i in range(d):
-        # Column k: total weight of the coalitions of k other features.
-        sizes = np.zeros((1 << d, d))
-        sizes[:, 0] = 1.0
-        for j in range(d):
-            if j != i:
-                added = sizes[:, :-1] * inside[:, [j]]
-                sizes *= share[j]
-                sizes[:, 1:] += added
-        values[:, i] = value * (inside[:, i] - share[i]) * (sizes @ weight)
-    return Leaf(
-        np.array(features),
-        np.array([path[f][0] for f in features]),
-        np.array([path[f][1] for f in features]),
-        values,
-    )
 
-
-def tree_leaves(node: Any, scale: float, path: dict[int, list[float]] | None = None) -> Iterator[Leaf]:
-    """Walk one fitted regression tree (a JVM node) and yield its leaves."""
-    path = path or {}
-    if node.subtreeDepth() == 0:
-        if path:
-            yield _leaf(scale * node.prediction(), path)
-        return
-    split, rows = node.split(), node.impurityStats().count()
-    feature = split.featureIndex()
-    if split.getClass().getSimpleName() == "ContinuousSplit":
-        cut, swapped = split.threshold(), False
-    else:  # a 0/1 column; the left side holds either 0 or 1
-        cut, swapped = 0.5, list(split.leftCategories())[0] == 1.0
-    sides = [(node.leftChild(), swapped), (node.rightChild(), not swapped)]
-    for child, above in sides:
-        low, high, share = path.get(feature, [-math.inf, math.inf, 1.0])
-        share *= child.impurityStats().count() / rows
-        box = [max(low, cut), high, share] if above else [low, min(high, cut), share]
-        yield from tree_leaves(child, scale, {**path, feature: box})
-
-
-def tree_contributions(model: FittedModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def tree_contributions(
+    model: FittedModel, rows: DataFrame, keys: Sequence[str], paths: Paths | None = None
+) -> DataFrame:
     """(keys, contributions): path-dependent Shapley values of the log-odds per position.
 
-    The leaf tables are as large as the model and are broadcast; every task looks up its
-    rows' boxes batch by batch. Only the keys and the encoded vector reach Python.
+    Only the keys and the encoded vector reach Python.
     """
-    gbt = model.classifier
-    leaves = [
-        leaf
-        for tree, weight in zip(gbt.trees, gbt.treeWeights, strict=True)
-        for leaf in tree_leaves(tree._call_java("rootNode"), 2.0 * weight)
-    ]
-    shared = rows.sparkSession.sparkContext.broadcast(leaves)
-    width = len(model.encoder.positions())
     keys = list(keys)
     encoded = model.encoded(rows).select(*keys, vector_to_array(F.col(FEATURES)).alias(FEATURES))
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch[FEATURES].to_numpy()) if len(batch) else np.zeros((0, width))
-            total = np.zeros((len(batch), width))
-            for leaf in shared.value:
-                part = x[:, leaf.features]
-                inside = (part > leaf.low) & (part <= leaf.high)
-                bits = inside @ (1 << np.arange(len(leaf.features)))
-                total[:, leaf.features] += leaf.values[bits]
-            yield batch[keys].assign(contributions=list(total))
-
-    fields = ", ".join(f"`{name}` {kind}" for name, kind in rows.select(*keys).dtypes)
-    return encoded.mapInPandas(explain, f"{fields}, contributions array<double>")
+    return explained(encoded, FEATURES, keys, paths or tree_paths(model, rows.sparkSession))

@@ -67,6 +67,19 @@ def tree_contributions(spark, sf_dir):
     return tidy(reasons.feature_importance(kept, model.encoder.labels(spark), "trees"))
 
 
+def tree_additivity(spark, sf_dir):
+    """Labeled applicants, and those whose contributions and base add up to the model's log-odds."""
+    rows, model = trees_model(spark, sf_dir)
+    paths = models.tree_paths(model, spark)
+    found = models.tree_contributions(model, rows.frame, ["SK_ID_CURR"], paths)
+    scored = model.with_probability(rows.frame).select("SK_ID_CURR", "probability")
+    margin = F.lit(paths.base) + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    same = F.abs(margin - F.log(F.col("probability") / (1 - F.col("probability")))) < 1e-9
+    return found.join(scored, "SK_ID_CURR").agg(
+        F.count(F.lit(1)).alias("applicants"), F.count_if(same).alias("additive")
+    )
+
+
 def training_run(spark, sf_dir):
     """The whole training job on the v1 mart with the first candidate; metric rows."""
     mart = store(tables(spark, sf_dir).mart_v1, "mart").frame
@@ -193,6 +206,7 @@ def ml_queries() -> dict:
         "logistic_fit": logistic_fit,
         "gbt_fit": gbt_fit,
         "tree_contributions": tree_contributions,
+        "tree_additivity": tree_additivity,
         "training_run": training_run,
         "isotonic_fit": isotonic_fit,
         "sigmoid_fit": sigmoid_fit,
@@ -269,6 +283,8 @@ def ml_oracles() -> dict[str, str]:
 WHERE model_version = '{mq.FINE}' AND split = 'validation'"""),
         "logistic_optimum": named(f"""SELECT count(*) AS train_rows, TRUE AS at_optimum FROM predictions
 WHERE model_version = '{mq.FINE}' AND split = 'train'"""),
+        "tree_additivity": compose("""SELECT count(*) AS applicants, count(*) AS additive
+FROM mart_v1 WHERE source_population = 'application_train'"""),
         "median_mode_impute": compose(" UNION ALL ".join(fills)),
         "one_hot_unknown": compose(f"SELECT SK_ID_CURR, {hot} FROM mart_v1"),
         "scored_features": named(f"""SELECT t.applicant_id, t.scoring_population, t.model_version, t.threshold_version,
