@@ -8,11 +8,11 @@ from typing import Any
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditweave.functions.expressions import logit, sigmoid
+from creditweave.operators.monotone import Steps, fit_steps
 
 UNCALIBRATED, SIGMOID, ISOTONIC = "uncalibrated", "sigmoid", "isotonic"
 METHODS = (UNCALIBRATED, SIGMOID, ISOTONIC)
@@ -28,7 +28,7 @@ class CalibrationError(ValueError):
 class Calibrators:
     intercept: float
     slope: float
-    isotonic: IsotonicRegressionModel | None = None
+    isotonic: Steps | None = None
 
 
 def fit_sigmoid(validation: DataFrame) -> Calibrators:
@@ -48,14 +48,9 @@ def fit_sigmoid(validation: DataFrame) -> Calibrators:
     return Calibrators(float(model.intercept), float(model.coefficients[0]))
 
 
-def fit_isotonic(validation: DataFrame) -> IsotonicRegressionModel:
-    """Monotone step fit. Equal scores are averaged first, so ties cost one row each."""
-    per_score = validation.groupBy("probability").agg(
-        F.avg("target").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    return IsotonicRegression(
-        featuresCol="probability", labelCol="label", weightCol="weight", predictionCol="calibrated"
-    ).fit(per_score)
+def fit_isotonic(validation: DataFrame) -> Steps:
+    """Monotone step fit, pooled in parallel."""
+    return fit_steps(validation)
 
 
 def fit_calibrators(validation: DataFrame) -> Calibrators:
@@ -73,7 +68,7 @@ def apply_method(rows: DataFrame, method: str, fitted: Calibrators | None) -> Da
         margin = F.lit(fitted.intercept) + F.lit(fitted.slope) * logit("probability")
         return rows.withColumn("calibrated", sigmoid(margin))
     if method == ISOTONIC and fitted.isotonic is not None:
-        found = fitted.isotonic.transform(rows)
+        found = fitted.isotonic.at(rows, "probability", "calibrated")
         inside = F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0))
         return found.select(*rows.columns, inside.alias("calibrated"))
     raise CalibrationError(f"Unsupported calibration method: {method}")

@@ -8,12 +8,12 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from creditweave.operators.calibration import METHODS, UNCALIBRATED, Calibrators
 from creditweave.operators.encoding import Encoder
 from creditweave.operators.models import FittedModel
+from creditweave.operators.monotone import Steps
 from creditweave.settings import EVALUATION_SPLITS, MODEL_VERSIONS
 from creditweave.sources.staging import path_exists
 
@@ -114,7 +114,7 @@ def save_calibration(artifact: CalibrationArtifact, spark: SparkSession, folder:
     if artifact.fitted is not None:
         body |= {"intercept": artifact.fitted.intercept, "slope": artifact.fitted.slope}
         if artifact.fitted.isotonic is not None:
-            artifact.fitted.isotonic.write().overwrite().save(f"{path}/isotonic")
+            artifact.fitted.isotonic.save(f"{path}/isotonic")
     row = spark.createDataFrame([("calibration", json.dumps(body))], _METADATA)
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
     return path
@@ -142,6 +142,6 @@ def load_calibration(spark: SparkSession, folder: str, version: str, calibrated_
     if "slope" in body:
         isotonic = None
         if path_exists(spark, f"{path}/isotonic"):
-            isotonic = IsotonicRegressionModel.load(f"{path}/isotonic")
+            isotonic = Steps.load(spark, f"{path}/isotonic")
         fitted = Calibrators(body["intercept"], body["slope"], isotonic)
     return CalibrationArtifact(version, body["selected_method"], fitted, body["created_at"])
