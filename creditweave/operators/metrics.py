@@ -68,6 +68,48 @@ def score_curve(ranking: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame
     )
 
 
+def distinct_scores(predictions: DataFrame | Stored, groups: Sequence[str] = GROUPS) -> DataFrame:
+    """The score curve without a ranking of rows.
+
+    Rows are added up per score first, and the prefix sums run over the distinct scores; rows of equal
+    score leave a task as one. `rows` and `positives` may be counted already.
+    """
+    rows = predictions.frame if isinstance(predictions, Stored) else predictions
+    if "positives" not in rows.columns:
+        rows = rows.withColumns({"rows": F.lit(1).cast("bigint"), "positives": F.col("target").cast("bigint")})
+    per_score = rows.groupBy(*groups, "probability").agg(F.sum("rows").alias("size"), F.sum("positives").alias("hits"))
+    placed = ranked(per_score, groups, [F.col("probability").desc()], ["size", "hits"])
+    return placed.select(
+        *groups,
+        "probability",
+        F.col("size").alias("rows"),
+        F.col("hits").alias("positives"),
+        F.col("running_size").alias("rows_down_to"),
+        F.col("running_hits").alias("positives_down_to"),
+        F.col("group_size").alias("group_rows"),
+        F.col("group_hits").alias("group_positives"),
+        (F.col("group_size") - F.col("group_hits")).alias("group_negatives"),
+    )
+
+
+def curve_measures() -> dict[str, Column]:
+    """Aggregates over a score curve: all measures that need no row ranks."""
+    p, positives = F.col("probability"), F.col("positives")
+    squared = positives * F.pow(p - 1, F.lit(2)) + (F.col("rows") - positives) * F.pow(p, F.lit(2))
+    size, total = F.max("group_rows"), F.max("group_positives")
+    return {
+        "rows": size,
+        "positives": total,
+        "average_score": ratio(F.sum(p * F.col("rows")), size),
+        "positive_rate": ratio(total, size),
+        "roc_auc": roc_auc(),
+        "pr_auc": average_precision(),
+        "brier_score": ratio(F.sum(squared), size),
+        "min_predicted_probability": F.min(p),
+        "max_predicted_probability": F.max(p),
+    }
+
+
 def roc_points(curve: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
     return curve.select(
         *groups,
@@ -131,20 +173,10 @@ def metric_bundle(
         F.count_if(chosen).alias("top"),
         F.sum(F.when(reviewed, F.col("target")).otherwise(0)).alias("reviewed_positives"),
     )
-    p, positives = F.col("probability"), F.col("positives")
-    squared = positives * F.pow(p - 1, F.lit(2)) + (F.col("rows") - positives) * F.pow(p, F.lit(2))
     size, total = F.max("group_rows"), F.max("group_positives")
     precision = ratio(F.sum("top_positives"), F.sum("top"))
     return curve.groupBy(*groups).agg(
-        size.alias("rows"),
-        total.alias("positives"),
-        ratio(F.sum(p * F.col("rows")), size).alias("average_score"),
-        ratio(total, size).alias("positive_rate"),
-        roc_auc().alias("roc_auc"),
-        average_precision().alias("pr_auc"),
-        ratio(F.sum(squared), size).alias("brier_score"),
-        F.min(p).alias("min_predicted_probability"),
-        F.max(p).alias("max_predicted_probability"),
+        *[measure.alias(name) for name, measure in curve_measures().items()],
         ratio(precision, ratio(total, size)).alias("top_decile_lift"),
         precision.alias("precision_at_top_decile"),
         F.coalesce(ratio(F.sum("reviewed_positives"), total), F.lit(0.0)).alias(

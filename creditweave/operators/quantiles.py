@@ -3,6 +3,9 @@
 ``percentile`` keeps every distinct value of a group in one task. Here a sketch proposes two
 pivots around each wanted rank, one exact count places the rank relative to them, and the
 search continues inside the interval until few values are left, which are then sorted.
+
+Sketches meet in levels: those of a task, then those of `_FAN_IN` tasks, then those of one search, each search in
+a group of its own. No task sees the sketches of all columns.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from creditweave.sources.workspace import Stored
 
 # The search stops when an interval holds so few values; a fixed bound for one task.
 SORTED_VALUES = 100_000
-_ACCURACY = 10_000
-_MARGIN = 5.0 / _ACCURACY
+# A sketch of this size misses a rank by 0.13 % of the rows at most (99 % of the time).
+_SKETCH = 4096
+_MARGIN = 0.002
+_FAN_IN = 64
 _COLUMNS_PER_PASS = 50
 
 
@@ -103,16 +108,32 @@ def _pass(frame, columns, probabilities):
     return {c: [interpolated(c, p) for p in probabilities] for c in columns}
 
 
+def _pivots(frame: DataFrame, searches: list[_Search]) -> list[list[float]]:
+    """Two values around the wanted rank of each search. NaN, which sketches pass over, where nothing else is left."""
+    merged = (
+        frame.groupBy(F.floor(F.spark_partition_id() / _FAN_IN).alias("tasks"))
+        .agg(
+            *[
+                F.kll_sketch_agg_double(F.when(s.within(), F.col(s.column).cast("double")), _SKETCH).alias(f"s{i}")
+                for i, s in enumerate(searches)
+            ]
+        )
+        .select(F.posexplode(F.array(*[f"s{i}" for i in range(len(searches))])).alias("search", "sketch"))
+        .where(F.kll_sketch_get_n_double("sketch") > 0)
+        .groupBy("search")
+        .agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    )
+    # The ranks of a sketch have to be constants.
+    wanted = [
+        F.when(F.col("search") == i, F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, s.fractions()))))
+        for i, s in enumerate(searches)
+    ]
+    found = {r["search"]: sorted(r["pivots"]) for r in merged.select("search", F.coalesce(*wanted).alias("pivots")).collect()}
+    return [found.get(i, [math.nan, math.nan]) for i in range(len(searches))]
+
+
 def _narrow_all(frame: DataFrame, searches: list[_Search]) -> None:
-    sketch = frame.agg(
-        *[
-            F.percentile_approx(
-                F.when(s.within(), F.col(s.column).cast("double")), s.fractions(), _ACCURACY
-            ).alias(f"p{i}")
-            for i, s in enumerate(searches)
-        ]
-    ).first()
-    pivots = [sketch[f"p{i}"] for i in range(len(searches))]
+    pivots = _pivots(frame, searches)
     counts = frame.agg(
         *[
             F.count_if(s.within() & condition).alias(f"{kind}{i}_{j}")

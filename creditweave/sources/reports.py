@@ -39,8 +39,8 @@ def in_report_order(frame: DataFrame, table: str) -> DataFrame:
 
 def rows_frame(spark: SparkSession, rows: Iterable[Mapping[str, Any]], schema: str) -> DataFrame:
     """A small driver-made table with a fixed schema, e.g. one row per model candidate."""
-    struct = T._parse_datatype_string(schema)
-    return spark.createDataFrame([tuple(row[c] for c in struct.names) for row in rows], struct)
+    names = spark.createDataFrame([], schema).columns
+    return spark.createDataFrame([tuple(row[c] for c in names) for row in rows], schema)
 
 
 def write_table(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -48,6 +48,24 @@ def write_table(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     frame.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def replace_partitions(frame: DataFrame, path: str, by: str = "model_version") -> None:
+    """Replace those partitions of a stored table that the frame has rows for.
+
+    Other partitions keep their files: nothing of them is read or written. New files take the place of old ones
+    when the job commits. A frame without rows is an error, as it names no partition.
+    """
+    seen = Observation()
+    counted = frame.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(by).isNull()).alias("unnamed"))
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if not seen.get["rows"] or seen.get["unnamed"]:
+        raise ReportError(f"Rows that replace partitions need a {by}; got {seen.get['rows']} rows, {seen.get['unnamed']} without")
+
+
+def read_partitions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A partitioned table with the declared column types; versions that look like numbers stay text."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def write_csv(frame: DataFrame, table: str, path: str) -> int:
     """Write one report as headered CSV and return the row count.
 

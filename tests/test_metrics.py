@@ -155,3 +155,36 @@ def test_no_window_holds_a_whole_group(spark):
     windows = [line for line in plan.split("\n") if "Window [" in line]
     assert windows and all("_part" in line for line in windows)
     assert got.where("g = 'hot'").agg(F.max("rank")).first()[0] == 3600
+
+
+def test_curve_of_distinct_scores_equals_that_of_the_ranking(spark, predictions):
+    rows = getattr(predictions, "frame", predictions)
+    rows = rows.unionByName(rows.withColumn("probability", F.lit(0.5)))
+    want = m.score_curve(m.riskiest_first(rows))
+    got = m.distinct_scores(rows).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_quantiles_of_not_a_number(spark, monkeypatch):
+    """NaN is the largest value; sketches pass over it."""
+    monkeypatch.setattr(quantiles, "SORTED_VALUES", 2)
+    rows = spark.createDataFrame([(float(i),) for i in range(20)] + [(float("nan"),)] * 30, "a double")
+    got = exact_quantiles(rows, ["a"], [0.0, 0.2, 0.9])["a"]
+    assert got[0] == 0.0 and got[1] == pytest.approx(9.8) and got[2] != got[2]
+
+
+def test_no_task_sees_the_sketches_of_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SORTED_VALUES", 10)
+    plans = []
+    real = quantiles._pivots
+
+    def seen(frame, searches):
+        found = real(frame, searches)
+        plans.append((len(searches), found))
+        return found
+
+    monkeypatch.setattr(quantiles, "_pivots", seen)
+    rows = spark.range(5000).selectExpr("id * 1D AS a", "id * 2D AS b", "CAST(NULL AS DOUBLE) AS c").repartition(5)
+    assert exact_quantiles(rows, ["a", "b", "c"], [0.5]) == {"a": [2499.5], "b": [4999.0], "c": [None]}
+    # Both ranks of each column, each with two values of its own around it.
+    assert plans and all(n == len(found) and all(low <= high for low, high in found) for n, found in plans)

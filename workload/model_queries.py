@@ -21,8 +21,14 @@ from creditweave.plans.mart import FeatureTables
 from creditweave.plans.training import comparison
 from creditweave.schemas import REPORTS, RUN_METRICS
 from creditweave.settings import SEGMENT_DIMENSIONS, TRAIN_POPULATION, BusinessAssumptions, Settings
-from creditweave.sources.reports import relabel_version, replace_version_rows
-from creditweave.sources.workspace import Stored, store
+from creditweave.sources.reports import (
+    read_partitions,
+    relabel_version,
+    replace_partitions,
+    replace_version_rows,
+    write_table,
+)
+from creditweave.sources.workspace import Stored, new_path, store
 from workload.queries import tables, tidy
 
 NOW = "2026-01-01T00:00:00+00:00"
@@ -228,11 +234,11 @@ def precision_recall_at_rate(spark, sf_dir):
 
 
 def roc_points(spark, sf_dir):
-    return tidy(metrics.roc_points(metrics.score_curve(ranking(spark, sf_dir))))
+    return tidy(metrics.roc_points(metrics.distinct_scores(predictions(spark, sf_dir))))
 
 
 def pr_points(spark, sf_dir):
-    return tidy(metrics.pr_points(metrics.score_curve(ranking(spark, sf_dir))))
+    return tidy(metrics.pr_points(metrics.distinct_scores(predictions(spark, sf_dir))))
 
 
 def segment_query(spark, sf_dir):
@@ -466,6 +472,18 @@ def relabel_union(spark, sf_dir):
     return tidy(replace_version_rows(existing, FINE, fresh))
 
 
+def replaced_partitions(spark, sf_dir):
+    """The same on a stored table: only the fine variant's partition is written anew."""
+    kept = predictions(spark, sf_dir)
+    existing = metrics.metric_rows(metrics.metric_bundle(metrics.riskiest_first(kept)), NOW)
+    path = new_path(spark, "reports")
+    write_table(existing, path, ("model_version",))
+    fine = kept.frame.where(F.col("model_version") == FINE)
+    adjusted = store(fine.withColumn("probability", calibrated(F.col("probability"))), "adjusted")
+    replace_partitions(metrics.metric_rows(metrics.metric_bundle(metrics.riskiest_first(adjusted)), NOW), path)
+    return tidy(relabel_version(read_partitions(spark, path, existing.schema), FINE, "dashboard"))
+
+
 def model_comparison(spark, sf_dir):
     """Coarse as baseline, fine as challenger, on validation."""
     rows = metrics.metric_rows(metrics.metric_bundle(ranking(spark, sf_dir)), NOW)
@@ -514,5 +532,6 @@ def model_queries() -> dict:
         "stability_summary": stability_summary,
         "feature_set_winner": feature_set_winner,
         "relabel_union": relabel_union,
+        "replaced_partitions": replaced_partitions,
         "model_comparison": model_comparison,
     }

@@ -464,6 +464,7 @@ FROM score_table s LEFT JOIN reasons r ON s.applicant_id = r.applicant_id AND s.
         "stability_summary": named(_stability(), _runs()),
         "feature_set_winner": named("SELECT seed, feature_set, seed_validation_winner, " + ", ".join(RUN_METRICS) + " FROM marked", _runs()),
         "relabel_union": named(_long(), _ADJUSTED, _bundle("adjusted")),
+        "replaced_partitions": named(_long(), _ADJUSTED, _bundle("adjusted")),
         "model_comparison": named(f"""SELECT metric_name, {round6("b")} AS baseline_metric_value, {round6("c")} AS trees_metric_value,
   {round6("c - b")} AS trees_minus_baseline, (SELECT CASE WHEN max(pr_auc) FILTER (WHERE model_version = '{FINE}') >=
     max(pr_auc) FILTER (WHERE model_version = '{COARSE}') THEN 'boosted_trees' ELSE 'logistic_regression' END FROM bundle WHERE split = 'validation') AS selected_model_type
