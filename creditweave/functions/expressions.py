@@ -76,5 +76,5 @@ def tenth(rank: Column | str, rows: Column | str) -> Column:
 def top_rows(rows: Column | str, rate: float) -> Column:
     """How many rows a selection rate covers: at least one."""
     if not 0 < rate <= 1:
-        raise ValueError(f"Selection rate must be in (0, 1], got {rate}")
+        raise ValueError(f"A rate of {rate} selects nothing or more than all")
     return F.greatest(F.lit(1), F.ceil(col(rows) * F.lit(rate)))

@@ -40,7 +40,7 @@ def fit_sigmoid(validation: DataFrame) -> Calibrators:
     )
     n = rows.count()
     if not n:
-        raise CalibrationError("Calibration needs validation rows")
+        raise CalibrationError("No validation row to calibrate on")
     model = LogisticRegression(
         featuresCol="x", labelCol="label", regParam=1.0 / n, elasticNetParam=0.0,
         standardization=False, maxIter=1000, tol=1e-10,
@@ -63,7 +63,7 @@ def apply_method(rows: DataFrame, method: str, fitted: Calibrators | None) -> Da
     if method == UNCALIBRATED:
         return rows.withColumn("calibrated", F.col("probability"))
     if fitted is None:
-        raise CalibrationError(f"{method} needs fitted calibrators")
+        raise CalibrationError(f"Nothing was fitted that {method} could apply")
     if method == SIGMOID:
         margin = F.lit(fitted.intercept) + F.lit(fitted.slope) * logit("probability")
         return rows.withColumn("calibrated", sigmoid(margin))
@@ -71,14 +71,14 @@ def apply_method(rows: DataFrame, method: str, fitted: Calibrators | None) -> Da
         found = fitted.isotonic.at(rows, "probability", "calibrated")
         inside = F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0))
         return found.select(*rows.columns, inside.alias("calibrated"))
-    raise CalibrationError(f"Unsupported calibration method: {method}")
+    raise CalibrationError(f"No way to apply the method {method!r}")
 
 
 def choose_method(validation_brier: Mapping[str, float]) -> str:
     """None unless it helps; sigmoid unless another method is clearly better."""
     missing = sorted(set(METHODS) - set(validation_brier))
     if missing:
-        raise CalibrationError(f"Missing calibration comparison rows for: {missing}")
+        raise CalibrationError(f"The comparison has no Brier score for {missing}")
     best = min(METHODS, key=lambda m: validation_brier[m])
     if validation_brier[UNCALIBRATED] - validation_brier[best] < SMALLEST_GAIN:
         return UNCALIBRATED

@@ -42,12 +42,12 @@ def checked_pair(low: Any, high: Any, scenario: str) -> Thresholds:
         try:
             number = float(value)
         except (TypeError, ValueError):
-            raise PolicyError(f"{scenario} {name} must be numeric") from None
+            raise PolicyError(f"{name} of {scenario} is not a number") from None
         if not math.isfinite(number) or not 0 <= number <= 1:
-            raise PolicyError(f"{scenario} {name} must be in [0, 1]")
+            raise PolicyError(f"{name} of {scenario} lies outside 0 to 1")
         values.append(number)
     if values[0] >= values[1]:
-        raise PolicyError(f"{scenario} threshold_low must be below threshold_high")
+        raise PolicyError(f"The thresholds of {scenario} are not in rising order: {values}")
     return Thresholds(*values)
 
 
@@ -91,7 +91,7 @@ def scenario_thresholds(
         if given == [None, None]:
             open_scenarios.append(scenario)
         elif None in given:
-            raise PolicyError(f"{scenario} must set both thresholds or neither")
+            raise PolicyError(f"Only one threshold is given for {scenario}")
         else:
             pairs[scenario] = checked_pair(*given, scenario)
     if open_scenarios:
@@ -104,11 +104,11 @@ def scenario_thresholds(
             F.max(s).alias("high"),
         ).first()
         if not summary["n"]:
-            raise PolicyError("Validation scores must not be empty")
+            raise PolicyError("No validation row to take thresholds from")
         if summary["bad"]:
-            raise PolicyError("Validation scores must contain only finite values")
+            raise PolicyError(f"{summary['bad']} validation rows have no finite score")
         if summary["low"] == summary["high"]:
-            raise PolicyError("Cannot derive thresholds from a constant validation score")
+            raise PolicyError(f"All validation scores are {summary['low']}, so no threshold parts them")
         wanted = sorted({q for sc in open_scenarios for q in SCENARIO_QUANTILES[sc]})
         found = dict(zip(wanted, exact_quantiles(source, [score], wanted)[score], strict=True))
         for scenario in open_scenarios:

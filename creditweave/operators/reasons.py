@@ -84,7 +84,7 @@ def missing_reason_keys(scores: DataFrame, reasons: DataFrame) -> DataFrame:
 def merge_reasons(scores: DataFrame, reasons: DataFrame, check: bool = True) -> DataFrame:
     """Put reasons into the score rows with the same key; other score rows stay as they are."""
     if check and not missing_reason_keys(scores, reasons).isEmpty():
-        raise ContractError("Reason rows contain keys missing from credit_risk_scores")
+        raise ContractError("Some reasons belong to no row of the score table")
     fresh = reasons.select(*SCORE_KEY, *[F.col(r).alias(f"_{r}") for r in REASONS], F.lit(True).alias("_hit"))
     joined = scores.join(fresh, list(SCORE_KEY), "left")
     return joined.select(

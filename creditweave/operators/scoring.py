@@ -89,9 +89,9 @@ def require_all_scored(scores: DataFrame, joined: DataFrame | Stored, version: s
     kept = joined if isinstance(joined, Stored) else store(joined, "scored-features")
     expected = scores.where(F.col("model_version") == version).count()
     if expected == 0:
-        raise ContractError(f"credit_risk_scores has no rows for model_version={version}")
+        raise ContractError(f"The score table holds no rows of {version}")
     if kept.rows != expected:
         raise ContractError(
-            f"Scored rows do not reconcile to the mart: scored={expected}, joined={kept.rows}"
+            f"{expected} scores of {version} met {kept.rows} rows of the mart"
         )
     return kept

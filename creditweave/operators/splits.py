@@ -153,9 +153,12 @@ def split_violations(rows: DataFrame, splits: DataFrame) -> DataFrame:
         "only one target class": F.when((n["negatives"] == 0) | (n["positives"] == 0), 1).otherwise(0),
     }
     entries = [F.struct(F.lit(p).alias("problem"), v.cast("long").alias("n")) for p, v in problems.items()]
+    # Rows without a split are a split of their own on both sides.
+    loaded = loaded.withColumnRenamed("split", "loaded_split")
+    same = saved["split"].eqNullSafe(loaded["loaded_split"])
     return (
-        saved.join(loaded, "split", "full")
-        .select("split", F.explode(F.array(*entries)).alias("e"))
+        saved.join(loaded, same, "full")
+        .select(F.coalesce("split", "loaded_split").alias("split"), F.explode(F.array(*entries)).alias("e"))
         .select("split", "e.*")
         .where("n <> 0")
     )

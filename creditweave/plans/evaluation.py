@@ -51,7 +51,7 @@ def artifact_rows(mart: DataFrame, artifact: ModelArtifact) -> DataFrame:
     """Mart rows of a model's saved split, written once and checked against the saved ids."""
     missing = sorted(set(artifact.feature_columns) - set(mart.columns))
     if missing:
-        raise contracts.ContractError(f"The mart is missing model features: {missing}")
+        raise contracts.ContractError(f"The model reads columns that the mart lacks: {missing}")
     rows = store(split_rows(mart, artifact.splits, artifact.feature_columns), "split-rows").frame
     require_split_rows(rows, artifact.splits)
     return rows
@@ -259,7 +259,7 @@ def require_plain_labels(artifact: ModelArtifact, labels: list[str], settings: S
     leaks = forbidden_text(texts, ["feature", "label"], settings.forbidden_terms()).collect()
     if leaks:
         listed = ", ".join(sorted({r["text"] for r in leaks}))
-        raise contracts.ContractError(f"Excluded field appeared in explanation text: {listed}")
+        raise contracts.ContractError(f"Labels of the explanation name excluded fields: {listed}")
 
 
 def run_explanation(
@@ -282,7 +282,7 @@ def run_explanation(
         reasons.feature_importance(kept, labels, artifact.model_version), "importance"
     )
     if not importance.rows:
-        raise contracts.ContractError("All feature contributions are zero")
+        raise contracts.ContractError("No feature contributes to any score")
     merged = store(reasons.merge_reasons(scores, reasons.top_reasons(kept, labels)), "scores")
     return Explanation(merged, importance.frame)
 
@@ -363,7 +363,7 @@ def run_dashboard_export(
     overrides = quality_overrides(mart, used, tables["model_metrics_summary"], settings, version)
     segments = store(segment_table(mart, tables[contracts.DIAGNOSTICS], used, version), "segments")
     if not segments.rows:
-        raise contracts.ContractError("segment_performance_summary must not be empty")
+        raise contracts.ContractError("No segment has scored rows")
     overrides["segment_performance_summary"] = segments.frame
     relabel = (source, version) if version != source else None
     return export_dashboard(tables, folder, overrides, relabel)

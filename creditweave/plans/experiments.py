@@ -60,9 +60,9 @@ def feature_sets(
     """The top-n prefixes of a ranking, and all features."""
     for n in limits:
         if n <= 0:
-            raise ExperimentError(f"Feature limits must be positive, got {n}")
+            raise ExperimentError(f"A set of {n} features is asked for")
         if n > len(full):
-            raise ExperimentError(f"Feature limit {n} exceeds full feature count {len(full)}")
+            raise ExperimentError(f"A set of {n} features is asked for, of {len(full)} that exist")
     wanted = max(limits, default=0)
     if len(ranked) < wanted:
         raise ExperimentError(
@@ -185,9 +185,9 @@ def run_stability(
 ) -> StabilityResult:
     """Repeat the feature-set comparison over several split seeds and summarise."""
     if not seeds:
-        raise ExperimentError("At least one seed is required")
+        raise ExperimentError("No seed is given")
     if len(set(seeds)) != len(seeds):
-        raise ExperimentError("Seeds must be unique")
+        raise ExperimentError(f"Seeds repeat: {list(seeds)}")
     created_at = timestamp_text()
     sets = feature_sets(ranked_raw_features(importance, features), features, limits, include_full)
     labeled = labeled_rows(mart, features)

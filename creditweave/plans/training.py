@@ -70,11 +70,11 @@ class Training:
 def labeled_rows(mart: DataFrame, features: Sequence[str]) -> Stored:
     """All labeled rows, written once: the split, the fits and the predictions read them."""
     if not features:
-        raise models.ModelError("No model feature columns are available for training")
+        raise models.ModelError("The mart has none of the model's features")
     rows = mart.where(F.col("source_population") == TRAIN_POPULATION)
     kept = store(rows.select("SK_ID_CURR", "TARGET", *features), "labeled")
     if not kept.rows:
-        raise models.ModelError("No labeled rows are available for training")
+        raise models.ModelError("The mart has no row with a target to learn from")
     return kept
 
 

@@ -137,7 +137,7 @@ def load_calibration(spark: SparkSession, folder: str, version: str, calibrated_
             f"Calibration belongs to {body['base_model_version']}, not to {version}"
         )
     if body["selected_method"] not in METHODS:
-        raise ArtifactError(f"Unsupported calibration method: {body['selected_method']}")
+        raise ArtifactError(f"{path} names an unknown method: {body['selected_method']!r}")
     fitted = None
     if "slope" in body:
         isotonic = None

@@ -33,7 +33,7 @@ def in_report_order(frame: DataFrame, table: str) -> DataFrame:
     """Project to the declared columns; a missing column is an error."""
     missing = sorted(set(REPORTS[table]) - set(frame.columns))
     if missing:
-        raise ReportError(f"{table} is missing required columns: {missing}")
+        raise ReportError(f"{table} lacks the columns {missing}")
     return frame.select(*REPORTS[table])
 
 
@@ -103,7 +103,7 @@ def replace_version_rows(existing: DataFrame, version: str, replacement: DataFra
 def require_tables(tables: Mapping[str, DataFrame], names: Iterable[str]) -> None:
     missing = sorted(set(names) - set(tables))
     if missing:
-        raise ReportError(f"Missing required tables: {', '.join(missing)}")
+        raise ReportError(f"The bundle lacks the tables {missing}")
 
 
 def export_dashboard(

@@ -438,6 +438,16 @@ FROM (SELECT *, CASE WHEN probability < threshold_low THEN 'approve' WHEN probab
         "roc_points": named(curve.format(columns=f"{round6('(seen - tp) / NULLIF(neg, 0)')} AS false_positive_rate, {round6('tp / NULLIF(pos, 0)')} AS true_positive_rate"), pb),
         "pr_points": named(curve.format(columns=f"{round6('tp / seen')} AS precision, {round6('tp / NULLIF(pos, 0)')} AS recall"), pb),
         "scenario_thresholds": named(f"SELECT scenario_name, {round6('threshold_low')} AS threshold_low, {round6('threshold_high')} AS threshold_high FROM pairs"),
+        "tied_thresholds": named(f"SELECT scenario_name, {round6('threshold_low')} AS threshold_low, {round6('threshold_high')} AS threshold_high FROM pairs", {
+            "tied": f"""SELECT CASE WHEN SK_ID_CURR % 10 <> 0 THEN 0.5 ELSE probability / 2 END AS probability
+FROM predictions WHERE split = 'validation' AND model_version = '{FINE}'""",
+            "cut": " UNION ALL ".join(
+                f"SELECT '{s}' AS scenario_name, quantile_cont(probability, {lo}) AS low, quantile_cont(probability, {hi}) AS high FROM tied"
+                for s, (lo, hi) in SCENARIOS.items()
+            ),
+            "levels": """SELECT probability, row_number() OVER (ORDER BY probability) - 1 AS i, count(*) OVER () - 1 AS last
+FROM (SELECT DISTINCT probability FROM tied)""",
+        }),
         "threshold_metrics": named(_policy_rows()),
         "confusion_matrix": named(f"""SELECT {G}, scenario_name, true_label, predicted_label,
   count(*) FILTER (WHERE target = true_label AND (band = 'high_risk')::INT = predicted_label) AS count
