@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LENGTH = 192
+LENGTH = 240
 OVERLAP = 48
 LEARNED = 96
 HIDDEN = 12
 # Windows that a task works on at once.
-BATCH = 2048
+BATCH = 1024
 
 # Classes of characters: letters without case, all digits as one, ASCII signs, white space, the rest.
 PAD = 0
@@ -72,23 +72,23 @@ class Tagger:
     # -- reading ------------------------------------------------------------------------
 
     def emissions(self, batch: np.ndarray) -> np.ndarray:
-        """(length, windows, tags) scores of a (windows, length) batch of classes."""
+        """(length, tags, windows) scores of a (windows, length) batch of classes."""
         n, length = batch.shape
         h = self.hidden.shape[1]
         # Halved gates: the logistic function is then a single tanh for all four.
         half = np.full(4 * h, 0.5, np.float32)
         half[3 * h :] = 1.0
-        scores = np.zeros((length, n, len(self.bias)), np.float32)
-        scores += self.bias
+        scores = np.empty((length, len(self.bias), n), np.float32)
+        scores[:] = self.bias[:, None]
         turned = np.ascontiguousarray(batch.T).astype(np.intp)
         for way in range(2):
             # Columns are windows: every gate is then one stretch of memory.
             table = np.ascontiguousarray((self.inputs[way] * half).T)
             through = np.ascontiguousarray((self.hidden[way] * half).T)
-            out = self.out[way * h : (way + 1) * h]
-            state, cell = np.zeros((h, n), np.float32), np.zeros((h, n), np.float32)
-            gates, added = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32)
-            fresh = np.empty((h, n), np.float32)
+            out = np.ascontiguousarray(self.out[way * h : (way + 1) * h].T)
+            state, cell, fresh = np.zeros((3, h, n), np.float32)
+            gates, added = np.empty((2, 4 * h, n), np.float32)
+            given = np.empty((len(self.bias), n), np.float32)
             for t in range(length) if way == 0 else reversed(range(length)):
                 np.take(table, turned[t], axis=1, out=gates, mode="clip")
                 np.matmul(through, state, out=added)
@@ -102,36 +102,45 @@ class Tagger:
                 cell += fresh
                 np.tanh(cell, out=state)
                 state *= gates[2 * h : 3 * h]
-                scores[t] += state.T @ out
+                np.matmul(out, state, out=given)
+                scores[t] += given
         return scores
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """(windows, length) tags of the best path through each window."""
-        length, n, _ = scores.shape
+        length, _, n = scores.shape
         best = np.empty_like(scores)
-        best[0] = scores[0] + self.first
+        best[0] = scores[0] + self.first[:, None]
+        moves = self.moves[:, :, None]
         for t in range(1, length):
-            # By the tag before: no array of all pairs of tags is needed.
-            found = best[t - 1][:, :1] + self.moves[0]
-            for tag in range(1, scores.shape[2]):
-                np.maximum(found, best[t - 1][:, tag, None] + self.moves[tag], out=found)
-            np.add(found, scores[t], out=best[t])
-        out = np.zeros((n, length), np.int8)
-        out[:, -1] = best[-1].argmax(1)
-        into = np.ascontiguousarray(self.moves.T)
+            np.max(best[t - 1][:, None] + moves, axis=0, out=best[t])
+            best[t] += scores[t]
+        out = np.zeros((length, n), np.int8)
+        out[-1] = best[-1].argmax(0)
         for t in range(length - 1, 0, -1):
-            out[:, t - 1] = (best[t - 1] + into[out[:, t]]).argmax(1)
-        return out
+            out[t - 1] = (best[t - 1] + self.moves[:, out[t]]).argmax(0)
+        return np.ascontiguousarray(out.T)
 
     def can_leave(self, scores: np.ndarray) -> np.ndarray:
         """Which windows may hold more than tag 0 on their best path.
 
-        A path differs from the one of tag 0 alone by the scores of its other tags and by at most two
-        moves for each; where no tag can make up for its moves, tag 0 alone is best.
+        A stretch of other tags gains at most the difference of scores at each of its places and the best move
+        between them, besides the best moves into and out of it. Where no stretch can gain, tag 0 alone
+        is best.
         """
-        gain = max(0.0, float((self.moves - self.moves[0, 0]).max()), float((self.first - self.first[0]).max()))
-        better = (scores[:, :, 1:].max(2) - scores[:, :, 0]).max(0)
-        return better + 2 * gain > 0
+        stay = self.moves[0, 0]
+        within = (self.moves[1:, 1:] - stay).max()
+        into = max((self.moves[0, 1:] - stay).max(), (self.first[1:] - self.first[0]).max())
+        leave = max((self.moves[1:, 0] - stay).max(), 0.0)
+        gain = scores[:, 1:].max(1) - scores[:, 0] + within
+        best = np.full(scores.shape[2], -np.inf, np.float32)
+        current = np.zeros(scores.shape[2], np.float32)
+        for step in gain:
+            np.maximum(current, 0, out=current)
+            current += step
+            np.maximum(best, current, out=best)
+        # A little more, for rounding.
+        return best + (into + leave - within) > -1e-3
 
     def spans(self, texts: list[str]) -> Iterator[list[tuple[int, int, int, float]]]:
         """For each text the (start, kind, end, score) that its windows show whole."""
@@ -164,7 +173,7 @@ class Tagger:
         live = np.flatnonzero(self.can_leave(scores))
         if not len(live):
             return
-        scores = scores[:, live]
+        scores = np.ascontiguousarray(scores[:, :, live])
         tags = self.decode(scores)
         for j in np.flatnonzero((tags > 0).any(1)):
             number, start, last, held = windows[live[j]]
@@ -176,7 +185,7 @@ class Tagger:
                     b += 1
                 if (a == 0 and start > 0) or (b >= len(held) and not last):
                     continue
-                margin = scores[a:b, j, 1:].max(1) - scores[a:b, j, 0]
+                margin = scores[a:b, 1:, j].max(1) - scores[a:b, 0, j]
                 found[number].append((start + int(a), int(kind), start + int(min(b, len(held))), float(max(margin.sum(), 0.1))))
 
 
