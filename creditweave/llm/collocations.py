@@ -5,22 +5,25 @@ words at blanks and tabs. Everything is per language. A phrase of `least` or mor
 candidate; its score is the lowest, over all cuts into two parts, of floor(1000 * a * n / (l * r)).
 A candidate that any longer one explains, because it occurs as often, is dropped.
 
-* Rows are dealt by a hash into shards of about `SHARD_BYTES` of text; a language never shares a
-  shard's group with another. A shard numbers its words and is stored as these numbers.
-* Word counts of all shards are summed. A phrase can only be frequent if all its words are, so in
-  the second step rare words divide the pieces as separators do.
+* Each task that reads documents makes shards of up to `SHARD_BYTES` of text, one language each. A shard
+  numbers its words and is stored as these numbers. Every row is in one shard, and which one doesn't matter.
 * A shard's index is the Burrows-Wheeler transform over word numbers, in both directions, sorted to
   the depth of the longest phrase. A phrase is a pair of intervals, one per direction. All intervals of
   a length are extended at once: a step of the last-to-first map gives the words that stand before
   (or, in the reversed text, behind) each, with their counts, and the interval of each extension.
-* First all pairs of words are enumerated and summed across shards. The frequent ones go back to the shards
-  in which they occur, and only what they chain together is indexed to the full depth. Pruning is exact: a
-  phrase is at most as frequent as any part of it. Nothing is pruned by counts of one shard.
+* First all words and all pairs of words are enumerated, and their counts summed across shards by a hash.
+  A sum is at least the count of each word or pair in it, so where it stays below `least` none is frequent,
+  nor any phrase that holds one. The others are bit maps, one bucket for about eight words of the corpus and
+  `MOST_BUCKETS` at most; a crowded map prunes less, and never wrongly.
+* Then what the remaining pairs chain together is indexed to the full depth, and the longer phrases are sifted in
+  the same way. Of single words only those in remaining pairs are needed.
+* The counts of all that is left are summed across shards by the phrases themselves, packed in blocks of
+  buckets. Nothing is pruned by the counts of one shard.
 * A phrase of n words is explained by a longer candidate only if it is by one of n + 1 words, as
   counts fall from part to whole; so candidates are compared with their own first and last parts.
 
-Memory: a shard (a single longer text is a shard of its own size) in numpy arrays, about forty bytes
-per word. Sums and joins are by phrase; a phrase has at most a row per shard, so no key is hot. Parts
+Memory: a shard (a single longer text is a shard of its own size) in numpy arrays, about two hundred bytes
+per word, and texts of a few shards that wait; a shard is one row, of about half its texts' size. Sums and joins are by phrase; a phrase has at most a row per shard, so no key is hot. Parts
 are found by joins with the table of frequent phrases, of which there are at most 5 / `least` per word.
 
 Null and empty texts hold no words, a null language is `und`, repeated rows count each time,
@@ -38,14 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from creditweave.llm.decontaminate import word_hashes
 from creditweave.llm.textkit import LOWER, Words, pieces, utf8
-from creditweave.sources.workspace import Stored, store
+from creditweave.sources.workspace import store
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-SHARD_BYTES = 16 << 20
-_CHUNK_WORDS = 1 << 16
+SHARD_BYTES = 6 << 20
+MOST_BUCKETS = 1 << 28
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -98,39 +102,120 @@ def _numbered(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 _SHARD = pa.schema(
     [
+        ("kind", pa.string()),
         ("lang", pa.string()),
-        ("shard", pa.int64()),
-        ("id", pa.int32()),
-        ("word", pa.string()),
+        ("part", pa.int32()),
+        ("places", pa.binary()),
+        ("held", pa.binary()),
         ("n", pa.int64()),
-        ("ids", pa.binary()),
     ]
 )
-_SHARD_DDL = "lang string, shard bigint, id int, word string, n bigint, ids binary"
-
-
-def _number_shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """A row for each distinct word with its count, then the word numbers in chunks."""
-    ids, words = _numbered(group["text"])
-    counts = np.bincount(ids, minlength=len(words) + 1)[1:]
-    chunks = [ids[i : i + _CHUNK_WORDS].tobytes() for i in range(0, len(ids), _CHUNK_WORDS)]
-    n, m = len(words), len(chunks)
-    return pa.table(
-        [
-            pa.array([key[0].as_py()] * (n + m), pa.string()),
-            pa.array(np.full(n + m, key[1].as_py()), pa.int64()),
-            pa.array(np.concatenate([np.arange(1, n + 1), np.arange(m)]), pa.int32()),
-            pa.concat_arrays([words.cast(pa.string()), pa.nulls(m, pa.string())]),
-            pa.concat_arrays([pa.array(counts, pa.int64()), pa.nulls(m, pa.int64())]),
-            pa.array([None] * n + chunks, pa.binary()),
-        ],
-        schema=_SHARD,
-    )
-
-
-def _ids(chunks: pa.Table) -> np.ndarray:
-    chunks = chunks.sort_by("id")["ids"].to_pylist()
-    return np.concatenate([np.frombuffer(c, np.int32) for c in chunks]) if chunks else np.zeros(0, np.int32)
+_SHARD_DDL = "kind string, lang string, part int, places binary, held binary, n bigint"
+# Rows of a shard: its word numbers (`places`), words (`held`) and size (`n`); its sums of words and of pairs by bucket.
+_NUMBERS, _WORDS, _PAIRS = "numbers", "words", "pairs"
+# In the second round: sums of longer phrases, and the words that are needed.
+_LONGER, _NEEDED = "longer", "needed"
+_BLOCK = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _packed(values: bytes) -> bytes:
+    return len(values).to_bytes(8, "little") + pa.compress(values, "zstd", asbytes=True)
+
+
+def _unpacked(values: bytes) -> bytes:
+    return pa.decompress(values[8:], int.from_bytes(values[:8], "little"), "zstd", asbytes=True)
+
+
+def _packed_numbers(values: np.ndarray) -> bytes:
+    """Byte by byte: the upper bytes of small numbers are nearly all alike."""
+    width = values.dtype.itemsize
+    return _packed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def _unpacked_numbers(values: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(_unpacked(values), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+class _Shard:
+    """Word numbers from 1 with a 0 after every piece, the words, and their hashes with the language's."""
+
+    def __init__(self, lang: str, ids: np.ndarray, words: pa.Array):
+        self.lang, self.ids, self.words = lang, ids, words
+        name = np.frombuffer(lang.encode(), np.uint8)
+        seed = word_hashes(name, np.array([0, len(name)]))[0]
+        self.hashes = np.zeros(len(words) + 1, np.uint64)
+        self.hashes[1:] = (word_hashes(*utf8(words)) ^ seed) * _ODD
+
+    def buckets(self, rows: np.ndarray, n: int) -> np.ndarray:
+        """The bucket of each word or pair (a row of numbers); equal in all shards of a language."""
+        mixed = np.zeros(len(rows), np.uint64)
+        for i in range(rows.shape[1]):
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD + self.hashes[rows[:, i]]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _ODD
+        return (mixed >> np.uint64(32)).astype(np.int64) & (n - 1)
+
+    def sums(self, rows: np.ndarray, counts: np.ndarray, n: int, least: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """Counts by bucket, in blocks of buckets. Beyond `least` a count need not be exact."""
+        if not len(rows):
+            return
+        at = self.buckets(rows, n)
+        order = np.argsort(at, kind="stable")
+        filled, starts = np.unique(at[order], return_index=True)
+        values = np.minimum(np.add.reduceat(counts[order], starts), least).astype(np.uint8)
+        block, places = filled // _BLOCK, (filled % _BLOCK).astype(np.uint16)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        for i, j in zip(first, np.append(first, len(filled))[1:], strict=True):
+            steps = np.diff(places[i:j], prepend=np.uint16(0))
+            yield int(block[i]), _packed_numbers(steps), _packed(values[i:j].tobytes())
+
+    def row(self, kind: str, part: int, places: bytes, held: bytes, n: int | None = None) -> dict:
+        return {"kind": kind, "lang": self.lang, "part": part, "places": places, "held": held, "n": n}
+
+    def rows(self, buckets: int, least: int) -> Iterator[dict]:
+        counts = np.bincount(self.ids, minlength=len(self.words) + 1)[1:]
+        # No word holds a blank.
+        texts = " ".join(self.words.to_pylist()).encode("utf-8", "surrogatepass")
+        yield self.row(_NUMBERS, 0, _packed_numbers(self.ids), _packed(texts), int(counts.sum()))
+        singles = np.arange(1, len(self.words) + 1)[:, None]
+        for sums in self.sums(singles, counts, buckets, least):
+            yield self.row(_WORDS, *sums)
+        for pairs, found in Index(self.ids, 2).phrases(2):
+            for sums in self.sums(pairs, found, buckets, least):
+                yield self.row(_PAIRS, *sums)
+
+
+def _make_shards(buckets: int, least: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[pa.Array]] = {}
+        held: dict[str, int] = {}
+
+        def emptied(lang):
+            held.pop(lang)
+            shard = _Shard(lang, *_numbered(pa.chunked_array(waiting.pop(lang))))
+            for row in shard.rows(buckets, least) if len(shard.words) else ():
+                yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
+
+        for batch in batches:
+            table = pa.table(batch)
+            for lang in pc.unique(table["lang"]).to_pylist():
+                texts = table.filter(pc.equal(table["lang"], lang))["text"].combine_chunks()
+                _, bounds = utf8(texts)
+                for start, end in pieces(bounds, SHARD_BYTES):
+                    if held.get(lang, 0) + bounds[end] - bounds[start] > SHARD_BYTES and lang in held:
+                        yield from emptied(lang)
+                    # A copy, as a slice would hold its whole batch.
+                    waiting.setdefault(lang, []).append(pa.concat_arrays([texts[start:end].take(pa.array(np.arange(end - start)))]))
+                    held[lang] = held.get(lang, 0) + int(bounds[end] - bounds[start])
+                    while sum(held.values()) > 3 * SHARD_BYTES:
+                        yield from emptied(max(held, key=held.get))
+        for lang in list(held):
+            yield from emptied(lang)
+
+    return make
 
 
 # --- index ------------------------------------------------------------------------------
@@ -145,18 +230,18 @@ class Side:
         order = np.argsort(rank, kind="stable") if depth < 2 else None
         while known < depth:
             after = np.zeros(n, np.int64)
-            after[: n - known] = rank[known:] + 1
+            after[: max(0, n - known)] = rank[known:] + 1
             key = rank * (rank.max() + 2) + after if n else rank
             order = np.argsort(key, kind="stable")
             fresh = np.diff(key[order], prepend=-1) != 0
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(fresh) - 1
             known *= 2
-        self.suffixes = order
+        self.suffixes = order.astype(np.int32)
         self.first_word = sequence[order]
         before = sequence[order - 1]
-        self.last_to_first = np.empty(n, np.int64)
-        self.last_to_first[np.argsort(before, kind="stable")] = np.arange(n)
+        self.last_to_first = np.empty(n, np.int32)
+        self.last_to_first[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
         self.has_before = before > 0
 
 
@@ -250,107 +335,164 @@ def _runs(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
     return out
 
 
-_PHRASES = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-_PHRASES_DDL = "lang string, shard bigint, a int, b int, phrase string, n bigint"
-
-
-def _found(key, found: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, words: pa.Array) -> pa.Table:
-    """Rows of phrases; `ids` and `words` are the known words by ascending number."""
-    tables = []
-    for rows, counts in found:
-        at = np.searchsorted(ids, rows)
-        texts = [words.take(pa.array(at[:, i])) for i in range(rows.shape[1])]
-        tables.append(
-            pa.table(
-                [
-                    pa.array([key[0].as_py()] * len(rows), pa.string()),
-                    pa.array(np.full(len(rows), key[1].as_py()), pa.int64()),
-                    pa.array(rows[:, 0], pa.int32()),
-                    pa.array(rows[:, 1], pa.int32()),
-                    pc.binary_join_element_wise(*texts, pa.scalar(" ", pa.large_string())).cast(pa.string()),
-                    pa.array(counts, pa.int64()),
-                ],
-                schema=_PHRASES,
-            )
-        )
-    return pa.concat_tables(tables) if tables else _PHRASES.empty_table()
-
-
-def _pairs_of_shard(key: tuple[pa.Scalar, ...], chunks: pa.Table, words: pa.Table) -> pa.Table:
-    """All pairs of neighbouring frequent words."""
-    words = words.sort_by("id")
-    known, texts = words["id"].to_numpy(), words["word"].combine_chunks().cast(pa.large_string())
-    ids = _ids(chunks)
-    frequent = np.zeros(int(max(ids.max(initial=0), known.max(initial=0))) + 1, bool)
-    frequent[known] = True
-    held = frequent[ids]
-    runs = _runs(ids, held[1:] & held[:-1])
-    return _found(key, list(Index(runs, 2).phrases(2)), known, texts)
-
-
-def _phrases_of_shard(longest: int):
-    def search(key: tuple[pa.Scalar, ...], chunks: pa.Table, pairs: pa.Table) -> pa.Table:
-        """Phrases of three words or more whose neighbouring pairs are all frequent."""
-        ids = _ids(chunks).astype(np.int64)
-        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        # A pair's phrase tells both its words.
-        texts = pc.split_pattern(pairs["phrase"].combine_chunks(), " ")
-        both = pc.list_flatten(texts).cast(pa.large_string())
-        known, place = np.unique(np.column_stack([a, b]).ravel(), return_index=True)
-        words = both.take(pa.array(place))
-        width = int(max(ids.max(initial=0), known.max(initial=0))) + 1
-        kept = np.unique(a.astype(np.int64) * width + b)
-        wanted = ids[:-1] * width + ids[1:]
-        linked = kept[np.minimum(np.searchsorted(kept, wanted), len(kept) - 1)] == wanted if len(kept) else np.zeros(len(wanted), bool)
-        runs = _runs(ids, linked)
-        return _found(key, [x for x in Index(runs, longest).phrases(longest) if x[0].shape[1] > 2], known, words)
-
-    return search
-
-
-def _shards(documents: DataFrame, text: str, lang: str) -> Stored:
-    """The numbered shards: rows with a word are its count, rows with ids are the texts."""
-    bytes_held = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    count = max(1, -(-bytes_held // SHARD_BYTES))
-    # Equal rows are spread by the partition that reads them, which a retry doesn't change.
-    plain = [F.col(f"`{name}`") for name, kind in documents.dtypes if "map<" not in kind and "variant" not in kind]
-    spread = F.xxhash64(*plain, F.spark_partition_id())
-    dealt = documents.select(
-        F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
-        F.pmod(spread, F.lit(count)).alias("shard"),
-        F.col(text).alias("text"),
-    )
-    numbered = dealt.groupBy("lang", "shard").applyInArrow(_number_shard, _SHARD_DDL)
-    return store(numbered, "shards")
-
-
-def _frequent(found: DataFrame, phrase: str, least: int) -> DataFrame:
-    return found.groupBy("lang", F.col(phrase).alias("phrase")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+_PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_PHRASES_DDL = "lang string, phrase string, n bigint"
+
+
+def _crowded(least: int):
+    def add(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bits of a block whose sums reach `least`."""
+        sums = np.zeros(_BLOCK, np.int64)
+        for batch in group:
+            for places, held in zip(batch["places"].to_pylist(), batch["held"].to_pylist(), strict=True):
+                at = np.cumsum(_unpacked_numbers(places, np.uint16), dtype=np.int64)
+                sums[at] += np.frombuffer(_unpacked(held), np.uint8)
+        bits = np.packbits(sums >= least).tobytes()
+        yield pa.RecordBatch.from_pylist([{"kind": key[0].as_py(), "part": key[1].as_py(), "bits": bits}], schema=_BITS)
+
+    return add
+
+
+_BITS = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("bits", pa.binary())])
+_BITS_DDL = "kind string, part int, bits binary"
+
+
+def _sifted(longest: int, buckets: int, crowded):
+    """A function of a stored shard: the shard, its words in crowded buckets, and its phrases by length.
+
+    All neighbouring pairs of a phrase lie in crowded buckets, as does a longer phrase once its sums are known.
+    """
+
+    def sift(lang: str, numbers: bytes, words: bytes):
+        ids = _unpacked_numbers(numbers, np.int32)
+        texts = _unpacked(words).decode("utf-8", "surrogatepass").split(" ")
+        shard, bits = _Shard(lang, ids, pa.array(texts, pa.large_string())), crowded.value
+
+        def kept(kind: str, rows: np.ndarray) -> np.ndarray:
+            at = shard.buckets(rows, buckets)
+            held = np.frombuffer(bits[kind], np.uint8)[at >> 3]
+            return held & (128 >> (at & 7)).astype(np.uint8) > 0
+
+        singles = np.arange(1, len(texts) + 1)[:, None]
+        for kind in (_WORDS, _NEEDED):
+            if kind in bits:
+                singles = singles[kept(kind, singles)]
+        linked = (ids[1:] > 0) & (ids[:-1] > 0)
+        places = np.flatnonzero(linked)
+        linked[places] = kept(_PAIRS, np.column_stack([ids[places], ids[places + 1]]))
+        found = [(singles, np.bincount(ids, minlength=len(texts) + 1)[singles[:, 0]])]
+        for rows, counts in Index(_runs(ids, linked), longest).phrases(longest):
+            if rows.shape[1] > 2 and _LONGER in bits:
+                held = kept(_LONGER, rows)
+                rows, counts = rows[held], counts[held]
+            found.append((rows, counts))
+        return shard, found
+
+    return sift
+
+
+def _each(batches: Iterator[pa.RecordBatch], sift):
+    for batch in batches:
+        for i in range(len(batch)):
+            yield sift(*(batch.column(name)[i].as_py() for name in ("lang", "places", "held")))
+
+
+def _longer_sums(longest: int, buckets: int, least: int, crowded):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of longer phrases by bucket, and the buckets of words in pairs."""
+        for shard, found in _each(batches, _sifted(longest, buckets, crowded)):
+            for rows, counts in found[1:]:
+                if rows.shape[1] == 2:
+                    kind, rows = _NEEDED, np.unique(rows)[:, None]
+                    counts = np.full(len(rows), least)
+                else:
+                    kind = _LONGER
+                for sums in shard.sums(rows, counts, buckets, least):
+                    yield pa.RecordBatch.from_pylist([shard.row(kind, *sums)], schema=_SHARD)
+
+    return count
+
+
+def _counted(longest: int, buckets: int, crowded):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All that is left with its counts: a row for each block of buckets."""
+        for shard, found in _each(batches, _sifted(longest, buckets, crowded)):
+            texts, sizes, blocks = [], [], []
+            for rows, counts in found:
+                parts = [shard.words.take(pa.array(rows[:, i] - 1)) for i in range(rows.shape[1])]
+                texts.append(pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())))
+                sizes.append(counts.astype(np.int64))
+                blocks.append(shard.buckets(rows, buckets) // _BLOCK)
+            blocks, sizes = np.concatenate(blocks), np.concatenate(sizes)
+            order = np.argsort(blocks, kind="stable")
+            texts, sizes = pa.concat_arrays(texts).take(pa.array(order)), sizes[order]
+            held, first = np.unique(blocks[order], return_index=True)
+            for block, i, j in zip(held, first, np.append(first, len(order))[1:], strict=True):
+                # No phrase holds a line break.
+                packed = _packed("\n".join(texts[i:j].to_pylist()).encode("utf-8", "surrogatepass"))
+                row = shard.row("counts", int(block), packed, _packed_numbers(sizes[i:j]))
+                yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
+
+    return count
+
+
+def _added(least: int):
+    def add(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The frequent phrases of a block; only its distinct phrases are held."""
+        held, waiting, rows = pa.table({"phrase": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), [], 0
+
+        def summed():
+            table = pa.concat_tables([held, *waiting]).group_by("phrase").aggregate([("n", "sum")])
+            return table.select(["phrase", "n_sum"]).rename_columns(["phrase", "n"])
+
+        for batch in group:
+            for phrases, counts in zip(batch["places"].to_pylist(), batch["held"].to_pylist(), strict=True):
+                texts = _unpacked(phrases).decode("utf-8", "surrogatepass").split("\n")
+                waiting.append(pa.table({"phrase": pa.array(texts, pa.string()), "n": _unpacked_numbers(counts, np.int64)}))
+                rows += len(texts)
+                if rows > max(1 << 18, 2 * len(held)):
+                    held, waiting, rows = summed(), [], 0
+        held = summed()
+        held = held.filter(pc.greater_equal(held["n"], least))
+        lang = pa.array([key[0].as_py()] * len(held), pa.string())
+        yield from pa.table([lang, held["phrase"], held["n"]], schema=_PHRASES).to_batches(1 << 16)
+
+    return add
+
+
+def _bit_maps(sums: DataFrame, kinds: tuple[str, ...], buckets: int, least: int) -> dict[str, bytes]:
+    """The crowded buckets of each kind, at most MOST_BUCKETS / 8 bytes."""
+    found = {kind: np.zeros(buckets // 8, np.uint8) for kind in kinds}
+    rows = sums.where(F.col("kind").isin(*kinds)).select("kind", "part", "places", "held")
+    for row in rows.groupBy("kind", "part").applyInArrow(_crowded(least), _BITS_DDL).toLocalIterator():
+        found[row.kind][row.part * _BLOCK // 8 :][: _BLOCK // 8] = np.frombuffer(row.bits, np.uint8)
+    return {kind: bits.tobytes() for kind, bits in found.items()}
 
 
 def frequent_phrases(
     documents: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST
 ) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, n_words, n) of all frequent phrases, single words included; and (lang, n), its words."""
-    shards = _shards(documents, text, lang).frame
-    words = shards.where(F.col("word").isNotNull())
-    # Columns of their own: both sides of a cogroup come from the same table.
-    chunks = shards.where(F.col("ids").isNotNull()).select(*[F.col(c).alias(c) for c in ("lang", "shard", "id", "ids")])
-    chunks = chunks.groupBy("lang", "shard")
-    totals = store(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals").frame
-
-    singles = store(_frequent(words, "word", least), "words").frame
-    known = words.select("lang", "shard", "id", F.col("word").alias("phrase")).join(singles.drop("n"), ["lang", "phrase"])
-    known = known.select("lang", "shard", "id", F.col("phrase").alias("word")).groupBy("lang", "shard")
-    found = store(chunks.cogroup(known).applyInArrow(_pairs_of_shard, _PHRASES_DDL), "pairs").frame
-
-    pairs = store(_frequent(found, "phrase", least), "frequent-pairs").frame
-    kept = found.join(pairs.drop("n"), ["lang", "phrase"]).select("lang", "shard", "a", "b", "phrase")
-    chains = chunks.cogroup(kept.groupBy("lang", "shard")).applyInArrow(_phrases_of_shard(longest), _PHRASES_DDL)
-    every = singles.unionByName(pairs)
+    """(lang, phrase, n_words, n) of all frequent phrases, single words included; and (lang, total), its words."""
+    held = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    # About a word for six bytes.
+    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(_BLOCK, 1 << (size // 48).bit_length()))
+    enough = min(least, 255)
+    shards = store(held.mapInArrow(_make_shards(buckets, enough), _SHARD_DDL), "shards").frame
+
+    numbers = shards.where(F.col("kind") == _NUMBERS)
+    totals = numbers.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = store(totals, "totals").frame
+    context = documents.sparkSession.sparkContext
+    parts = numbers.select("lang", "places", "held")
+    bits = _bit_maps(shards, (_WORDS, _PAIRS), buckets, enough)
     if longest > 2:
-        every = every.unionByName(_frequent(chains, "phrase", least))
-    counted = every.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "n")
+        longer = parts.mapInArrow(_longer_sums(longest, buckets, enough, context.broadcast(bits)), _SHARD_DDL)
+        bits |= _bit_maps(longer, (_LONGER, _NEEDED), buckets, enough)
+    found = parts.mapInArrow(_counted(longest, buckets, context.broadcast(bits)), _SHARD_DDL)
+    packed = found.select("lang", "part", "places", "held").groupBy("lang", "part")
+    counted = packed.applyInArrow(_added(least), _PHRASES_DDL)
+    counted = counted.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("n_words"), "n")
     return store(counted, "phrases").frame, totals
 
 
