@@ -61,8 +61,9 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = warc.read_archive(spark, warc.write_archive(pages))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = warc.write_archive(pages)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc.verified(warc.read_archive(spark, manifest).select(*columns, "intact"), manifest).select(*columns)
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ names in the stored manifest count, so a lost or repeated task leaves no trace i
 Reader. Files are cut into byte ranges, and ranges are dealt out to tasks. A task scans its
 range for the magic of a gzip member, takes a candidate as a record if its header decodes,
 starts with a WARC version line and has the mandatory fields, if the whole member decodes with
-the right check sum, and if it is followed by another member or the end of the file. A record belongs to the range it starts in, and is read
-beyond the range's end where it has to be. Memory is in proportion to a range and a record.
+the right check sum, and if it is followed by another member or the end of the file. A header may be of any
+length: what begins with the version line is read on until it ends. A record belongs to the range it starts in, and is read
+beyond the range's end where it has to be. Memory is in proportion to a range and a record. `verified` compares
+what was read with the manifest and with the stated digests, and raises where a record is lost or damaged.
 
 A null payload is empty. Rows without id are responses unless an equal row has an id. Rows that
 repeat the smallest id are all responses. An empty table gives an empty archive. Extra columns
@@ -197,7 +199,8 @@ def _member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | Non
         return None
     unpack, place, parts, fields, held = zlib.decompressobj(31), at, [], None, 0
     while not unpack.eof:
-        compressed = window.bytes(place, place + (HEADER_BYTES if fields is None else STEP_BYTES))
+        step = max(HEADER_BYTES, held) if fields is None else STEP_BYTES
+        compressed = window.bytes(place, place + step)
         if not compressed:
             return None
         try:
@@ -209,7 +212,7 @@ def _member(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | Non
         if fields is None:
             start = b"".join(parts)
             fields = _header(start)
-            if fields is None and (held > HEADER_BYTES or not b"WARC/1.".startswith(start[:7]) or unpack.eof):
+            if fields is None and (unpack.eof or b"\r\n\r\n" in start or not b"WARC/1.".startswith(start[:7])):
                 return None
     end = place - len(unpack.unused_data)
     after = window.bytes(end, end + len(MAGIC))
@@ -297,3 +300,17 @@ def read_archive(spark: SparkSession, manifest: DataFrame, range_bytes: int = RA
     )
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return ranges.repartition(tasks, "path", "start").mapInArrow(_read, _SCHEMA)
+
+
+class ArchiveError(ValueError):
+    """Records are missing from an archive, or their payloads are not those that were written."""
+
+
+def verified(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The records read, stored, once their number is the manifest's and every payload has its stated digest."""
+    kept = store(found, "warc-records")
+    wanted = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    damaged = kept.frame.where(~F.coalesce(F.col("intact"), F.lit(False))).count()
+    if kept.rows != wanted or damaged:
+        raise ArchiveError(f"{kept.rows} records of {wanted} were read; {damaged} do not have their stated digest")
+    return kept.frame

@@ -3,6 +3,9 @@ import gzip
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from creditweave.llm import warc
 from tests.llm.corpus import texts
 
@@ -77,3 +80,22 @@ def test_magic_inside_payloads_and_damage(tmp_path):
     assert found == ["<urn:page:1>", "<urn:page:5>", "<urn:page:2>"]
     found = [f["WARC-Record-ID"] for s in range(0, len(archive), 64) for f, _ in warc.read_range(str(path), len(archive), s, min(s + 64, len(archive)))]
     assert {"<urn:page:1>", "<urn:page:5>", "<urn:page:2>"} <= set(found)
+
+
+def test_headers_of_any_length(spark):
+    """Urls that do not compress: longer than a step of the reader, and longer than a range."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/&=") for _ in range(n)), f"page {i}") for i, n in enumerate((10, 70_000, 200_000, 400_000, 10))]
+    for size in (5_000, warc.RANGE_BYTES):
+        got = read(spark, pages(spark, rows).coalesce(1), size)
+        assert key(got) == brute(rows) and sorted(r.url for r in got) == sorted(u for _, u, _ in rows)
+
+
+def test_lost_and_damaged_records_raise(spark):
+    manifest = warc.write_archive(pages(spark, _rows()))
+    found = warc.read_archive(spark, manifest)
+    assert warc.verified(found, manifest).count() == len(_rows())
+    with pytest.raises(warc.ArchiveError, match="records of"):
+        warc.verified(found.where("page_id <> 3"), manifest)
+    with pytest.raises(warc.ArchiveError, match="1 do not"):
+        warc.verified(found.withColumn("intact", F.expr("intact AND NOT page_id <=> 3")), manifest)
