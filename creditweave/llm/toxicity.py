@@ -5,18 +5,16 @@ over to forms of a word that no example has. Fitting takes a bounded sample of l
 (`sample_rows`, those with the smallest hash of their id):
 
 * Of examples with equal texts one counts, so that copies are no evidence for their words.
-* Every term of every example is indexed. Only if there are more than `most_terms`, those of
-  the lowest document frequency are left out. `least_phi`, off by default, keeps terms of a squared
-  correlation with the label only.
+* Every term of every example is indexed.
 * Document frequencies are those of all documents: exact for indexed terms, and for terms that
   no example has in `BUCKETS` hash buckets. The latter only lengthen a text's vector.
 * The IDF of a term that `least_rows` examples have is raised by its correlation with the label
   (times `emphasis`). No term is left out or lowered by it: else the many terms of a long text
   drown the few that matter.
 * Each example becomes a TF-IDF vector of unit length, and the vectors an inverted index: for
-  each term the weights of the examples that have it. Examples are numbered in blocks, and each
-  term that many examples have knows its largest weight in each block.
-* Votes are calibrated: the leave-one-out votes of the examples are binned and made monotone.
+  each term the examples that have it, with their counts as numbers of few bits, from which the weights follow.
+  Examples are numbered in blocks, and each term that many examples have knows its largest weight in each block.
+* Votes are calibrated: the leave-one-out votes of the examples, taken in tasks, are binned and made monotone.
 
 The index is as large as the texts of the sample, whatever the size of the corpus, so tasks get
 it by broadcast. A text is scored whole, in its task: the postings of its rarer terms are added up
@@ -42,6 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +58,6 @@ COMMON = 128
 @dataclass(frozen=True)
 class Fit:
     sample_rows: int = 8192
-    most_terms: int = 1 << 20
-    least_phi: float = 0.0
     least_rows: int = 5
     emphasis: float = 30.0
     k: int = 25
@@ -159,6 +156,7 @@ def _document_frequencies(documents: DataFrame, text: str, known: np.ndarray) ->
 
     parts = documents.select(text).mapInArrow(counts, "number bigint, n bigint")
     found = parts.groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     out = np.zeros(len(known) + BUCKETS)
     out[found["number"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -168,25 +166,40 @@ def _document_frequencies(documents: DataFrame, text: str, known: np.ndarray) ->
 class Index:
     """The model that tasks get.
 
-    Terms are in hash order, those of `weights` by `bounds`; `idf` goes on with the buckets of
-    other terms. Rows of `largest` and of `dense` (block, example, term) are the common terms.
+    Terms are in hash order; `bounds` are those of their postings, which are `rows` of examples and
+    `codes` of their counts; `tf` has the factor of each code, `norms` the length of each example (1 beyond the
+    last). `idf` goes on with the buckets of other terms. Rows of `largest` and of `dense` (block, example,
+    term) are the common terms.
     """
 
     terms: np.ndarray
     idf: np.ndarray
     examples: np.ndarray
     labels: np.ndarray
+    norms: np.ndarray
     bounds: np.ndarray
     rows: np.ndarray
-    weights: np.ndarray
+    codes: np.ndarray
+    tf: np.ndarray
     common: np.ndarray
     largest: np.ndarray
     dense: np.ndarray
-    edges: np.ndarray
-    levels: np.ndarray
     without_terms: float
     fit: Fit
 
+    def weights(self, term: int) -> np.ndarray:
+        """Of a term's postings."""
+        some = slice(self.bounds[term], self.bounds[term + 1])
+        return self.tf[self.codes[some]] * self.idf[term] / self.norms[self.rows[some]]
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weights of all postings, spread out once by each worker; only the compact form travels."""
+        if "_postings" not in self.__dict__:
+            idf = np.repeat(self.idf[: len(self.terms)], np.diff(self.bounds))
+            weights = self.tf[self.codes] * idf / self.norms[self.rows]
+            object.__setattr__(self, "_postings", (self.rows.astype(np.intp), weights))
+        return self.__dict__["_postings"]
+
     def vector(self, places: np.ndarray, counts: np.ndarray, others: float = 0.0) -> np.ndarray:
         """Weights of the indexed terms; `others` is the squared weight of the text's other terms."""
         weights = (1.0 + np.log(counts)) * self.idf[places]
@@ -202,9 +215,10 @@ class Index:
         runs = [slice(a, b) for a, b in zip(self.bounds[places[rare]].tolist(), self.bounds[places[rare] + 1].tolist(), strict=True)]
         sums = np.zeros(self.dense.shape[:2])
         if runs:
-            weighted = np.concatenate([self.weights[run] for run in runs])
+            known_rows, known_weights = self.postings()
+            weighted = np.concatenate([known_weights[run] for run in runs])
             weighted *= np.repeat(query[rare], [run.stop - run.start for run in runs])
-            rows = np.concatenate([self.rows[run] for run in runs])
+            rows = np.concatenate([known_rows[run] for run in runs])
             sums = np.bincount(rows, weighted, sums.size).reshape(-1, BLOCK)
         bound = sums.max(1) + wide @ self.largest
         order = np.argsort(-bound, kind="stable")
@@ -234,9 +248,6 @@ class Index:
         prior = self.fit.prior
         return float((prior * share + cosines @ self.labels[rows]) / (prior + cosines.sum()))
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, self.edges, self.levels))
-
 
 def _monotone(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The nearest non-decreasing sequence, by pooling neighbours that are out of order."""
@@ -262,10 +273,60 @@ def _calibrate(votes: np.ndarray, labels: np.ndarray, bins: int) -> tuple[np.nda
     return np.array(centres), _monotone(np.array(rates), np.array(sizes, float))
 
 
-def fit_index(
+@dataclass(frozen=True)
+class Model:
+    """A shared index, the share of toxic examples, and the line that calibrates votes."""
+
+    index: Broadcast
+    share: float
+    edges: np.ndarray
+    levels: np.ndarray
+
+    def calibrated(self, vote: float) -> float:
+        return float(np.interp(vote, self.edges, self.levels))
+
+
+def fit_model(
     documents: DataFrame, labels: DataFrame, fit: Fit, text: str, key: str, label: str
-) -> Index:
+) -> Model:
     """Fit on the labelled rows given; which rows those are is the caller's choice."""
+    index, vectors = fit_index(documents, labels, fit, text, key, label)
+    share = float(index.labels.mean()) if len(index.labels) else 0.0
+    shared = documents.sparkSession.sparkContext.broadcast(index)
+    votes = _left_out(vectors, shared, share).toArrow().sort_by("example")
+    edges, levels = _calibrate(votes["vote"].to_numpy(), votes["label"].to_numpy(), fit.bins)
+    return Model(shared, share, edges, levels)
+
+
+def _left_out(vectors: DataFrame, shared: Broadcast, share: float) -> DataFrame:
+    """(example, vote, label) of each indexed example without itself."""
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        numbers = {int(e): i for i, e in enumerate(index.examples)}
+        for batch in batches:
+            found = []
+            for example, term, n in zip(batch["example"], batch["term"], batch["n"], strict=True):
+                row = numbers.get(example.as_py(), -1)
+                if row < 0:
+                    continue
+                # An example's terms ascend, as those of the index do.
+                places = np.searchsorted(index.terms, term.values.to_numpy().view(np.uint64))
+                query = index.vector(places, n.values.to_numpy())
+                vote = index.vote(*index.nearest(places, query, leave=row), share)
+                found.append({"example": int(index.examples[row]), "vote": vote, "label": float(index.labels[row])})
+            yield pa.RecordBatch.from_pylist(found, schema=_VOTES)
+
+    return vectors.mapInArrow(votes, "example bigint, vote double, label double")
+
+
+_VOTES = pa.schema([("example", pa.int64()), ("vote", pa.float64()), ("label", pa.float64())])
+
+
+def fit_index(
+    documents: DataFrame, labels: DataFrame, fit: Fit, text: str, key: str, label: str
+) -> tuple[Index, DataFrame]:
+    """The index, and the table of the examples' terms (example, label, term, n)."""
     spark = documents.sparkSession
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -289,7 +350,8 @@ def fit_index(
         "toxicity-terms",
     ).frame
     rows = float(documents.count())
-    return _index(vectors.toArrow(), lambda known: _document_frequencies(documents, text, known), rows, fit)
+    index = _index(vectors.toArrow(), lambda known: _document_frequencies(documents, text, known), rows, fit)
+    return index, vectors
 
 
 def _related(term: np.ndarray, label: np.ndarray, rows: float, toxic: float, size: int) -> np.ndarray:
@@ -319,76 +381,61 @@ def _index(found: pa.Table, frequencies, rows: float, fit: Fit) -> Index:
     place = np.empty(len(order), np.int32)
     place[order] = np.cumsum(new, dtype=np.int32) - 1
     del order, new
-    if fit.least_phi > 0:
-        related = _related(place, everyone[owner], float(len(ids)), everyone.sum(), len(unsigned))
-        unsigned, place, owner, count = _only(related >= fit.least_phi, unsigned, place, owner, count)
     dfs = frequencies(unsigned)
-    if len(unsigned) > fit.most_terms:
-        most = np.zeros(len(unsigned), bool)
-        most[np.argsort(-dfs[: len(unsigned)], kind="stable")[: fit.most_terms]] = True
-        unsigned, place, owner, count = _only(most, unsigned, place, owner, count)
-        dfs = frequencies(unsigned)
     idf = np.log((1.0 + rows) / (1.0 + dfs)) + 1.0
     related = _related(place, everyone[owner], float(len(ids)), everyone.sum(), len(unsigned))
     related[np.bincount(place, minlength=len(unsigned)) < fit.least_rows] = 0.0
     idf[: len(unsigned)] *= 1.0 + fit.emphasis * np.sqrt(related)
-    weight = (1.0 + np.log(count)) * idf[place]
+    known_counts, codes = np.unique(count, return_inverse=True)
+    tf = 1.0 + np.log(known_counts)
+    codes = codes.astype(np.min_scalar_type(max(0, len(tf) - 1)))
     del count
+    weight = tf[codes] * idf[place]
     norms = np.sqrt(np.bincount(owner, weight**2, len(ids)))
-    weight /= norms[owner]
     # Examples that share their heaviest term get neighbouring numbers, so that a block holds
     # like examples and its largest weights are tight bounds.
     starts = np.searchsorted(owner, np.arange(len(ids) + 1))
     heaviest = np.full(len(ids), -1)
     for i in np.flatnonzero(np.diff(starts)):
         heaviest[i] = place[starts[i] + np.argmax(weight[starts[i] : starts[i + 1]])]
+    del weight
     indexed = np.flatnonzero(norms > 0)
     indexed = indexed[np.lexsort((ids[indexed], heaviest[indexed]))]
     labels, examples = everyone[indexed], ids[indexed]
-    renumbered = np.full(len(ids), -1)
+    renumbered = np.zeros(len(ids), np.min_scalar_type(max(0, len(indexed) - 1)))
     renumbered[indexed] = np.arange(len(indexed))
     by_term = np.argsort(place, kind="stable")
-    rows_by_term, weights_by_term = renumbered[owner[by_term]], weight[by_term]
-    del by_term, owner
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(unsigned)))])
+    rows_by_term, codes_by_term = renumbered[owner[by_term]], codes[by_term]
+    del by_term, owner, codes
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(unsigned)))]).astype(np.int32)
+    del place
+    blocks = -(-max(1, len(examples)) // BLOCK)
+    lengths = np.ones(blocks * BLOCK)
+    lengths[: len(indexed)] = norms[indexed]
     # Terms of a quarter of the examples or more, at most `COMMON`, are held densely.
     held_by = np.diff(bounds)
     often = np.argsort(-held_by, kind="stable")[:COMMON]
     often = often[held_by[often] * 4 >= max(1, len(examples))]
-    common = np.full(len(unsigned), -1)
+    common = np.full(len(unsigned), -1, np.int16)
     common[often] = np.arange(len(often))
-    dense = np.zeros((-(-max(1, len(examples)) // BLOCK), BLOCK, len(often)))
-    for at, term in enumerate(often):
-        some = slice(bounds[term], bounds[term + 1])
-        dense[rows_by_term[some] // BLOCK, rows_by_term[some] % BLOCK, at] = weights_by_term[some]
+    dense = np.zeros((blocks, BLOCK, len(often)))
     without = everyone[norms == 0]
     share = float(everyone.mean()) if len(everyone) else 0.0
     apart = (float(without.sum()) + share) / (len(without) + 1.0)
-    line = np.array([0.0, 1.0])
     index = Index(
-        unsigned, idf, examples, labels, bounds, rows_by_term, weights_by_term, common, dense.max(1).T.copy(), dense, line, line, apart, fit
-    )
-    votes = np.array(
-        [
-            index.vote(*index.nearest(place[some], weight[some], leave=renumbered[i]), share)
-            for i in indexed
-            for some in [slice(starts[i], starts[i + 1])]
-        ]
+        unsigned, idf, examples, labels, lengths, bounds, rows_by_term, codes_by_term, tf, common, dense.max(1).T, dense, apart, fit
     )
-    edges, levels = _calibrate(votes, labels, fit.bins)
-    return replace(index, edges=edges, levels=levels)
-
-
-def _only(kept: np.ndarray, unsigned, place, owner, count):
-    """The terms kept, numbered anew, and their postings."""
-    number, some = np.cumsum(kept) - 1, kept[place]
-    return unsigned[kept], number[place[some]], owner[some], count[some]
+    for at, term in enumerate(often):
+        held = rows_by_term[bounds[term] : bounds[term + 1]].astype(np.int64)
+        dense[held // BLOCK, held % BLOCK, at] = index.weights(term)
+    return replace(index, largest=dense.max(1).T.copy())
 
 
 _RESULT = "score double, evidence array<struct<example:bigint,cosine:double,toxic:int>>"
 
 
-def _score_batch(index: Index, share: float, texts: pa.Array) -> pa.StructArray:
+def _score_batch(model: Model, texts: pa.Array) -> pa.StructArray:
+    index, share = model.index.value, model.share
     scores = np.full(len(texts), index.without_terms)
     evidence: list[list[dict]] = [[] for _ in range(len(texts))]
     if len(index.terms):
@@ -402,7 +449,7 @@ def _score_batch(index: Index, share: float, texts: pa.Array) -> pa.StructArray:
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 query = index.vector(places[a:b], counts[a:b], others[text[a]])
                 rows, cosines = index.nearest(places[a:b], query)
-                scores[start + text[a]] = index.calibrated(index.vote(rows, cosines, share))
+                scores[start + text[a]] = model.calibrated(index.vote(rows, cosines, share))
                 evidence[start + text[a]] = [
                     {"example": int(index.examples[r]), "cosine": float(c), "toxic": int(index.labels[r])}
                     for r, c in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)
@@ -412,15 +459,12 @@ def _score_batch(index: Index, share: float, texts: pa.Array) -> pa.StructArray:
 
 
 def _scored(documents: DataFrame, labels: DataFrame, examples, fit, text, key, label) -> tuple[DataFrame, str]:
-    index = fit_index(documents if examples is None else examples, labels, fit, text, key, label)
-    share = float(index.labels.mean()) if len(index.labels) else 0.0
-    shared = documents.sparkSession.sparkContext.broadcast((index, share))
+    model = fit_model(documents if examples is None else examples, labels, fit, text, key, label)
 
     @F.arrow_udf(_RESULT)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, rate = shared.value
         for texts in batches:
-            yield _score_batch(model, rate, texts)
+            yield _score_batch(model, texts)
 
     got = unused(documents.columns, "scored")
     return documents.withColumn(got, scored(F.col(text))), got

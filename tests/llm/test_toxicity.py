@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -40,12 +42,12 @@ def test_held_out_documents(spark):
 
 def test_search_is_exact(spark):
     rows, labels = corpus(spark, 500)
-    fit = toxicity.Fit(k=7, least_phi=0.002)
-    index = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), fit, "text", "doc_id", "toxic")
+    fit = toxicity.Fit(k=7)
+    index, _ = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), fit, "text", "doc_id", "toxic")
     dense = np.zeros((len(index.terms), len(index.examples)))
     for t in range(len(index.terms)):
         some = slice(index.bounds[t], index.bounds[t + 1])
-        dense[t, index.rows[some]] = index.weights[some]
+        dense[t, index.rows[some]] = index.weights(t)
     assert np.allclose((dense**2).sum(0), 1)
     rng = np.random.default_rng(0)
     assert index.largest.shape[1] > 2
@@ -80,11 +82,96 @@ def test_awkward_texts_labels_and_tables(spark):
     assert toxicity.toxicity(frame.limit(0), label_frame(spark, labels)).count() == 0
 
 
-def test_sample_is_bounded(spark):
+def test_sample_is_bounded_and_postings_are_small(spark):
     rows, labels = corpus(spark, 300)
-    fit = toxicity.Fit(sample_rows=120, most_terms=5)
-    index = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), fit, "text", "doc_id", "toxic")
-    assert len(index.examples) <= 120 and len(index.terms) <= 5
+    fit = toxicity.Fit(sample_rows=120)
+    index, _ = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), fit, "text", "doc_id", "toxic")
+    assert len(index.examples) <= 120
+    assert index.rows.itemsize + index.codes.itemsize <= 4
+
+
+def terms_of(text):
+    """Words and the six-byte grams inside them, told apart."""
+    found = Counter()
+    for word in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower().encode()):
+        found[b"w", word] += 1
+        for i in range(len(word) - 5):
+            found[b"g", word[i : i + 6]] += 1
+    return found
+
+
+def brute_scores(rows, labels, fit):
+    """Every cosine with every example, the votes, and their calibration, without an index."""
+    counts = {i: terms_of(t) for i, t in rows}
+    n, df = len(rows), Counter(t for c in counts.values() for t in c)
+    first = {}
+    for i, text in sorted(rows):
+        if i in labels:
+            first.setdefault(text, i)
+    of_text = {}
+    for i, text in rows:
+        if i in labels:
+            of_text[first[text]] = max(of_text.get(first[text], 0), labels[i])
+    examples = {i: y for i, y in of_text.items() if counts[i]}
+    seen = Counter(t for i in of_text for t in counts[i])
+    bad = Counter(t for i, y in of_text.items() if y for t in counts[i])
+    m, toxic = len(of_text), sum(of_text.values())
+
+    def idf(term):
+        value, held = np.log((1 + n) / (1 + df[term])) + 1, seen[term]
+        if held >= fit.least_rows:
+            cross = bad[term] * (m - toxic - held + bad[term]) - (held - bad[term]) * (toxic - bad[term])
+            below = held * (m - held) * toxic * (m - toxic)
+            value *= 1 + fit.emphasis * np.sqrt(cross * cross / below if below else 0.0)
+        return value
+
+    weight = {t: idf(t) for t in df}
+
+    def vector(i):
+        v = {t: (1 + np.log(c)) * weight[t] for t, c in counts[i].items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(i) for i, _ in rows}
+    share = sum(examples.values()) / len(examples)
+
+    def vote(i, leave=None):
+        near = []
+        for e in examples:
+            if e != leave:
+                cosine = sum(x * vectors[e].get(t, 0.0) for t, x in vectors[i].items())
+                if cosine > 0:
+                    near.append((-round(cosine, 9), e, cosine))
+        near = sorted(near)[: fit.k]
+        total = fit.prior + sum(c for _, _, c in near)
+        return (fit.prior * share + sum(c * examples[e] for _, e, c in near)) / total
+
+    order = sorted((vote(e, e), e) for e in examples)
+    centres, rates, sizes = [], [], []
+    for some in np.array_split(np.arange(len(order)), fit.bins):
+        votes = np.array([order[j][0] for j in some])
+        hits = sum(examples[order[j][1]] for j in some)
+        centres.append(votes.mean())
+        rates.append((hits + 0.5 * votes.mean()) / (len(some) + 0.5))
+        sizes.append(len(some))
+    levels = [
+        max(min(np.average(rates[a : c + 1], weights=sizes[a : c + 1]) for c in range(b, len(rates))) for a in range(b + 1))
+        for b in range(len(rates))
+    ]
+    return {i: float(np.interp(vote(i), centres, levels)) for i, _ in rows}
+
+
+def test_scores_equal_brute_force(spark):
+    rows, labels = corpus(spark, 240)
+    rows += [(1000 + i, t) for i, t in enumerate([rows[3][1], rows[8][1], "idiot", "idiot scum tree river"])]
+    known = {i: y for i, y in labels if i % 3} | {1000: 1, 1003: 1}
+    fit = toxicity.Fit(k=9)
+    want = brute_scores(rows, known, fit)
+    got = toxicity.toxicity(documents(spark, rows).repartition(3), label_frame(spark, list(known.items())), fit=fit).collect()
+    assert len(got) == len(rows)
+    # Bins are cut in order of the votes, so equal votes of different labels may change places.
+    assert max(abs(r.score - want[r.doc_id]) for r in got) < 2e-2
+    assert np.mean([abs(r.score - want[r.doc_id]) < 1e-6 for r in got]) > 0.9
 
 
 def test_whole_text_counts(spark):
@@ -92,7 +179,7 @@ def test_whole_text_counts(spark):
     rows, labels = corpus(spark, 200)
     rows = [*rows, (900, "quorvax plimber"), (901, "quorvax plimber dostrane"), (902, "zzqwert")]
     labels = [*labels, (900, 0)]
-    index = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), toxicity.Fit(), "text", "doc_id", "toxic")
+    index, _ = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), toxicity.Fit(), "text", "doc_id", "toxic")
     assert sorted(index.examples) == sorted({i for i, _ in labels})
     got = {r.doc_id: r for r in toxicity.toxicity(documents(spark, rows), label_frame(spark, labels)).collect()}
     assert all(got[i].evidence for i, _ in rows if i != 902) and not got[902].evidence
