@@ -88,3 +88,18 @@ def test_hot_applicant_is_reduced_before_the_shuffle(spark, staging):
     assert plan.count("WindowGroupLimit") == 2
     got = [r["NUM_INSTALMENT_NUMBER"] for r in latest.orderBy("recency").collect()]
     assert got == [4900, 4800, 4700]
+
+
+def test_means_of_quotients_do_not_depend_on_the_order_of_rows(spark):
+    paid = [float(7919 * i % 10007 + 1) for i in range(60)]
+    rows = [(1, p, 13.0) for p in paid] + [(2, p, 13.0) for p in reversed(paid)]
+    rows += [(3, p, 13.0) for p in sorted(paid)] + [(4, None, 3.0), (5, 1.0, 0.0)]
+    frame = spark.createDataFrame(rows, "SK_ID_CURR long, AMT_PAYMENT double, AMT_INSTALMENT double").coalesce(1)
+    payments = frame.withColumns({c: F.lit(0.0) for c in ("DAYS_ENTRY_PAYMENT", "DAYS_INSTALMENT")})
+    found = {r[0]: r["avg_payment_to_instalment_ratio"] for r in history.installment_digest(payments).collect()}
+    assert found[1] == found[2] == found[3] == pytest.approx(sum(paid) / 780, rel=1e-14)
+    assert found[4] is None and found[5] is None
+    previous = frame.withColumnsRenamed({"AMT_PAYMENT": "AMT_CREDIT", "AMT_INSTALMENT": "AMT_APPLICATION"})
+    previous = previous.withColumns({"NAME_CONTRACT_STATUS": F.lit("approved"), "DAYS_DECISION": F.lit(0)})
+    found = {r[0]: r["avg_credit_to_application_ratio"] for r in history.previous_digest(previous).collect()}
+    assert found[1] == found[2] == found[3]

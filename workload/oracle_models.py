@@ -8,7 +8,7 @@ from creditweave.settings import SEGMENT_DIMENSIONS, Settings
 from workload.model_queries import COARSE, FINE, NOW, PLATT, SEEDS
 from workload.oracle_features import (
     APPLICANT, BALANCE, BUREAU, CARD, FULL, INSTALLMENTS, LAST_K, POS, PREVIOUS, PRESSURE,
-    RECENCY, V1, compose, per, round6,
+    RECENCY, V1, _by_applicant, compose, per, round6,
 )
 
 G = "model_version, split"
@@ -215,6 +215,22 @@ KINDS = {
 }
 
 
+def _exact_mean(value: str) -> str:
+    """The mean of fractions cut at 20 and 50 binary digits, whose sums are the same in any order."""
+    coarse = f"CASE WHEN abs({value}) < {1 << 32} THEN floor(({value}) * {1 << 20}) / {1 << 20} ELSE {value} END"
+    rest = f"floor((({value}) - ({coarse})) * {1 << 50}) / {1 << 50}"
+    return f"(sum({coarse}) + sum({rest})) / NULLIF(count({value}), 0)"
+
+
+# Distinct values can only be counted of means that do not depend on the order of the rows.
+_EXACT_MEANS = {
+    "f_previous": _by_applicant("stg_previous_application", PREVIOUS | {
+        "avg_credit_to_application_ratio": (_exact_mean("AMT_CREDIT / NULLIF(AMT_APPLICATION, 0)"), True)}),
+    "f_installments": _by_applicant("stg_installments_payments", INSTALLMENTS | {
+        "avg_payment_to_instalment_ratio": (_exact_mean("AMT_PAYMENT / NULLIF(AMT_INSTALMENT, 0)"), True)}),
+}
+
+
 def _column_inventory() -> str:
     groups = Settings().exclusion_groups()
     parts = []
@@ -407,7 +423,7 @@ def model_oracles() -> dict[str, str]:
     return {
         "table_profile": named(" UNION ALL ".join(profiles)),
         "data_inventory": named(_inventory()),
-        "column_inventory": named(_column_inventory()),
+        "column_inventory": named(_column_inventory(), _EXACT_MEANS),
         "grain_duplicates": named("SELECT SK_ID_PREV, NUM_INSTALMENT_NUMBER, count(*) AS n FROM stg_installments_payments GROUP BY ALL HAVING count(*) > 1"),
         "contract_violations": named(_VIOLATIONS, _DAMAGED),
         "contract_clean": 'SELECT CAST(NULL AS VARCHAR) AS "check", CAST(NULL AS VARCHAR) AS detail, CAST(NULL AS BIGINT) AS n WHERE false',
