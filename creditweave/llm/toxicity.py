@@ -192,13 +192,16 @@ class Index:
         some = slice(self.bounds[term], self.bounds[term + 1])
         return self.tf[self.codes[some]] * self.idf[term] / self.norms[self.rows[some]]
 
-    def postings(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and weights of all postings, spread out once by each worker; only the compact form travels."""
-        if "_postings" not in self.__dict__:
-            idf = np.repeat(self.idf[: len(self.terms)], np.diff(self.bounds))
-            weights = self.tf[self.codes] * idf / self.norms[self.rows]
-            object.__setattr__(self, "_postings", (self.rows.astype(np.intp), weights))
-        return self.__dict__["_postings"]
+    def rare_sums(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """For each example, the sum over these terms; postings are read as they are stored."""
+        start = self.bounds[places].astype(np.int64)
+        length = self.bounds[places + 1] - start
+        upto = np.cumsum(length)
+        held = np.arange(upto[-1] if len(upto) else 0)
+        held += np.repeat(start + length - upto, length)
+        weighted = self.tf.take(self.codes.take(held))
+        weighted *= np.repeat(query * self.idf[places], length)
+        return np.bincount(self.rows.take(held), weighted, len(self.norms)) / self.norms
 
     def vector(self, places: np.ndarray, counts: np.ndarray, others: float = 0.0) -> np.ndarray:
         """Weights of the indexed terms; `others` is the squared weight of the text's other terms."""
@@ -212,14 +215,7 @@ class Index:
         rare = at < 0
         wide = np.zeros(len(self.largest))
         wide[at[~rare]] = query[~rare]
-        runs = [slice(a, b) for a, b in zip(self.bounds[places[rare]].tolist(), self.bounds[places[rare] + 1].tolist(), strict=True)]
-        sums = np.zeros(self.dense.shape[:2])
-        if runs:
-            known_rows, known_weights = self.postings()
-            weighted = np.concatenate([known_weights[run] for run in runs])
-            weighted *= np.repeat(query[rare], [run.stop - run.start for run in runs])
-            rows = np.concatenate([known_rows[run] for run in runs])
-            sums = np.bincount(rows, weighted, sums.size).reshape(-1, BLOCK)
+        sums = self.rare_sums(places[rare], query[rare]).reshape(-1, BLOCK)
         bound = sums.max(1) + wide @ self.largest
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]

@@ -191,3 +191,18 @@ def test_whole_text_counts(spark):
     want = np.sqrt(np.square(shared).sum() / np.square(shared + own).sum())
     assert nearest.example == 900 and abs(nearest.cosine - want) < 1e-9
     assert abs(got[900].evidence[0].cosine - 1) < 1e-9
+
+
+def test_search_keeps_no_spread_postings(spark):
+    """Sums over postings as stored equal those of their weights, and a search adds nothing to a worker's index."""
+    rows, labels = corpus(spark, 200)
+    index, _ = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), toxicity.Fit(), "text", "doc_id", "toxic")
+    places = np.flatnonzero(index.common < 0)[::7]
+    query = np.linspace(0.1, 0.9, len(places))
+    want = np.zeros(len(index.norms))
+    for place, q in zip(places, query, strict=True):
+        want[index.rows[index.bounds[place] : index.bounds[place + 1]]] += q * index.weights(place)
+    assert np.allclose(index.rare_sums(places, query), want, rtol=1e-12, atol=0)
+    assert not index.rare_sums(places[:0], query[:0]).any()
+    index.nearest(places, query)
+    assert set(vars(index)) == set(index.__dataclass_fields__)
