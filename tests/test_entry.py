@@ -45,3 +45,15 @@ def test_a_cluster_must_name_the_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace.shared_folder(Session())
+
+
+def test_dashboard_export_scores_and_splits_the_mart_once(spark, monkeypatch):
+    from workload import model_queries as mq
+
+    calls = []
+    for owner, name in ((mq, "scored_mart"), (mq.splits, "stratified_split")):
+        real = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, real=real, name=name: calls.append(name) or real(*a))
+    exported = entry.queries()["dashboard_export"](spark, entry.SMALL)
+    assert exported.count() == 8
+    assert sorted(calls) == ["scored_mart", "stratified_split"]

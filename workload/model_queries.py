@@ -7,6 +7,7 @@ of such numbers are exact, whatever the order of addition.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -73,10 +74,10 @@ def coarse_score(fine: Column) -> Column:
     return dyadic(fine, 6)
 
 
-def scored_mart(t: FeatureTables) -> DataFrame:
+def scored_mart(t: FeatureTables, *extra: str) -> DataFrame:
     return t.mart_v1.select(
         "SK_ID_CURR", "source_population", F.col("TARGET").cast("int").alias("TARGET"),
-        fine_score().alias("fine"),
+        fine_score().alias("fine"), *extra,
     )
 
 
@@ -85,6 +86,25 @@ def labeled(spark: SparkSession, sf_dir: str) -> Stored:
     return store(scored.where(F.col("source_population") == TRAIN_POPULATION), "labeled")
 
 
+@dataclass(frozen=True)
+class Base:
+    """Scored applicants with the drivers, the labeled ones and their split, each computed once."""
+
+    scored: DataFrame
+    labeled: Stored
+    split: DataFrame
+
+
+def base(spark: SparkSession, sf_dir: str) -> Base:
+    """For queries that need these tables several times."""
+    scored = store(scored_mart(tables(spark, sf_dir), *DRIVERS), "scored").frame
+    rows = store(
+        scored.where(F.col("source_population") == TRAIN_POPULATION).drop(*DRIVERS), "labeled"
+    )
+    drawn = splits.stratified_split(rows).select("SK_ID_CURR", "split")
+    return Base(scored, rows, store(drawn, "split").frame)
+
+
 def two_models(rows: DataFrame, *extra: str) -> DataFrame:
     """The long prediction frame of both score variants."""
     entries = [
@@ -97,9 +117,9 @@ def two_models(rows: DataFrame, *extra: str) -> DataFrame:
     ).select("_e.model_version", "split", "SK_ID_CURR", "target", "_e.probability", *extra)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> Stored:
-    rows = labeled(spark, sf_dir)
-    drawn = splits.stratified_split(rows).select("SK_ID_CURR", "split")
+def predictions(spark: SparkSession, sf_dir: str, given: Base | None = None) -> Stored:
+    rows = given.labeled if given else labeled(spark, sf_dir)
+    drawn = given.split if given else splits.stratified_split(rows).select("SK_ID_CURR", "split")
     return store(two_models(rows.frame.join(drawn, "SK_ID_CURR")), "predictions")
 
 
@@ -241,9 +261,9 @@ def pr_points(spark, sf_dir):
     return tidy(metrics.pr_points(metrics.distinct_scores(predictions(spark, sf_dir))))
 
 
-def segment_query(spark, sf_dir):
-    rows = labeled(spark, sf_dir)
-    drawn = splits.stratified_split(rows).select("SK_ID_CURR", "split")
+def segment_query(spark, sf_dir, given: Base | None = None):
+    rows = given.labeled if given else labeled(spark, sf_dir)
+    drawn = given.split if given else splits.stratified_split(rows).select("SK_ID_CURR", "split")
     fields = tables(spark, sf_dir).diagnostics.where(
         F.col("source_population") == TRAIN_POPULATION
     ).select("SK_ID_CURR", *SEGMENT_DIMENSIONS)
@@ -350,12 +370,11 @@ def calibration_comparison(spark, sf_dir):
 # --- scoring and explanation ----------------------------------------------------------
 
 
-def score_table(spark, sf_dir) -> Stored:
+def score_table(spark, sf_dir, given: Base | None = None) -> Stored:
     """Both populations scored with the fine variant, bands from its validation quantiles."""
-    t = tables(spark, sf_dir)
-    scored = store(scored_mart(t), "scored")
-    train = scored.frame.where(F.col("source_population") == TRAIN_POPULATION)
-    drawn = splits.stratified_split(store(train, "labeled")).select("SK_ID_CURR", "split")
+    scored = given.scored.drop(*DRIVERS) if given else store(scored_mart(tables(spark, sf_dir)), "scored").frame
+    train = scored.where(F.col("source_population") == TRAIN_POPULATION)
+    drawn = given.split if given else splits.stratified_split(store(train, "labeled")).select("SK_ID_CURR", "split")
     split_scores = store(train.join(drawn, "SK_ID_CURR"), "split-scores")
     validation = store(
         split_scores.frame.where("split = 'validation'").select(F.col("fine").alias("probability")),
@@ -365,7 +384,7 @@ def score_table(spark, sf_dir) -> Stored:
     holdout = split_scores.frame.where("split = 'test'").withColumn(
         "scoring_population", F.lit("holdout_test")
     )
-    unlabeled = scored.frame.where(F.col("source_population") != TRAIN_POPULATION).withColumn(
+    unlabeled = scored.where(F.col("source_population") != TRAIN_POPULATION).withColumn(
         "scoring_population", F.lit("kaggle_test")
     )
     columns = [
@@ -382,10 +401,11 @@ def risk_scores(spark, sf_dir):
     return score_table(spark, sf_dir).frame
 
 
-def contributions(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
+def contributions(spark, sf_dir, given: Base | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """(scores, contribution rows, labels) for the scored rows."""
-    scores = score_table(spark, sf_dir).frame
-    joined = scoring.scored_features(scores, tables(spark, sf_dir).mart_v1, FINE, list(DRIVERS))
+    scores = score_table(spark, sf_dir, given).frame
+    features = given.scored if given else tables(spark, sf_dir).mart_v1
+    joined = scoring.scored_features(scores, features, FINE, list(DRIVERS))
     parts = terms()
     rows = joined.select(
         "applicant_id", "scoring_population", "model_version", "threshold_version",
