@@ -57,3 +57,9 @@ def test_dashboard_export_scores_and_splits_the_mart_once(spark, monkeypatch):
     exported = entry.queries()["dashboard_export"](spark, entry.SMALL)
     assert exported.count() == 8
     assert sorted(calls) == ["scored_mart", "stratified_split"]
+
+
+def test_the_mart_joins_the_installments_once(spark, capsys):
+    """The digests read a written copy; only the source's own join knows `l_partkey`."""
+    entry.queries()["mart_full"](spark, entry.SMALL).explain()
+    assert "l_partkey" not in capsys.readouterr().out

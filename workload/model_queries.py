@@ -30,7 +30,7 @@ from creditweave.sources.reports import (
     write_table,
 )
 from creditweave.sources.workspace import Stored, new_path, store
-from workload.queries import tables, tidy
+from workload.queries import joined_once, tables, tidy
 
 NOW = "2026-01-01T00:00:00+00:00"
 SCORED_AT = datetime(2026, 1, 1)
@@ -142,7 +142,7 @@ def thresholds(kept: Stored) -> dict[str, policy.Thresholds]:
 
 def kept_tables(spark, sf_dir, post_v1: bool = True) -> FeatureTables:
     """Feature tables over stored digests, for queries that touch many of them."""
-    return tables(spark, sf_dir).keep(lambda name, frame: store(frame, name).frame, post_v1)
+    return joined_once(spark, sf_dir).keep(lambda name, frame: store(frame, name).frame, post_v1)
 
 
 def table_profile(spark, sf_dir):
