@@ -74,6 +74,38 @@ def test_logistic_optimum_and_contributions(spark, train):
     assert parts.sum(1) + margins.mean() == pytest.approx(margins)
 
 
+def test_logistic_fit_needs_few_passes(spark):
+    # Two columns that nearly agree: gradient steps take hundreds of passes and stop short.
+    rows = spark.range(4000).selectExpr(
+        "id AS SK_ID_CURR", "CAST(crc32(CAST(id AS STRING)) % 5 = id % 2 AS INT) AS TARGET",
+        "CAST(id % 97 AS DOUBLE) AS a", "id % 97 + 0.01 * (id % 13) AS b", "pow(id % 89, 6) AS c",
+        "CASE WHEN id % 50 = 0 THEN 'x' ELSE 'y' END AS d")
+    rows, names, context = store(rows), ["a", "b", "c", "d"], spark.sparkContext
+    encoder = encoding.fit_encoder(rows, names, scaled=False)
+    context.setJobGroup("logistic", "logistic")
+    model = models.fit_logistic(rows, names, encoder=encoder)
+    jobs = context.statusTracker().getJobIdsForGroup("logistic")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 60
+    assert model.encoder == encoding.fit_encoder(rows, names, scaled=True)
+    from pyspark.ml.functions import vector_to_array
+
+    found = model.encoded(rows.frame).select("TARGET", vector_to_array("features").alias("v")).collect()
+    x, y = np.array([r["v"] for r in found]), np.array([r["TARGET"] for r in found])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    beta = np.array(model.classifier.coefficients)
+    errors = w * (1 / (1 + np.exp(-(x @ beta + model.classifier.intercept))) - y)
+    assert np.abs(x.T @ errors + beta).max() / len(y) < 1e-9 and abs(errors.mean()) < 1e-9
+
+
+def test_wide_logistic_fit_agrees(train, monkeypatch):
+    narrow = models.fit_logistic(train, FEATURES)
+    monkeypatch.setattr(models, "MOST_CURVED", 0)
+    wide = models.fit_logistic(train, FEATURES)
+    assert np.array(narrow.classifier.coefficients) == pytest.approx(np.array(wide.classifier.coefficients), abs=1e-4)
+    assert narrow.classifier.intercept == pytest.approx(wide.classifier.intercept, abs=1e-4)
+
+
 @pytest.fixture(scope="module")
 def trees(train):
     encoded, encoder, stages = models.encode_training(train, FEATURES)
