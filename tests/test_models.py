@@ -106,6 +106,14 @@ def test_wide_logistic_fit_agrees(train, monkeypatch):
     assert narrow.classifier.intercept == pytest.approx(wide.classifier.intercept, abs=1e-4)
 
 
+def test_tree_rows_are_dealt_evenly(spark, train):
+    # One large and some small files, as a join leaves them.
+    skewed = store(train.frame.repartitionByRange(4, F.col("SK_ID_CURR") < 70, "SK_ID_CURR"))
+    encoded, _, _ = models.encode_training(skewed, FEATURES)
+    sizes = [r[1] for r in encoded.frame.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= min(sizes) + 4
+
+
 @pytest.fixture(scope="module")
 def trees(train):
     encoded, encoder, stages = models.encode_training(train, FEATURES)
