@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,11 +11,21 @@ from pyspark.sql import types as T
 
 from creditweave.functions.expressions import ratio
 from creditweave.settings import Settings
+from creditweave.sources.workspace import store
+
+# Keys that one task counts.
+KEYS_IN_TASK = 1 << 19
 
 
 def duplicate_keys(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with how often."""
-    return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Keys that occur more than once, with how often.
+
+    Nearly all keys may differ, so the tasks that count them grow in number with the rows, not in memory. The keys
+    are written first, which also frees what a join behind them holds.
+    """
+    kept = store(frame.select(*keys), "keys")
+    dealt = kept.frame.repartition(max(1, math.ceil(kept.rows / KEYS_IN_TASK)), *keys)
+    return dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def profile(name: str, frame: DataFrame, keys: Sequence[str], applicant: str = "SK_ID_CURR") -> DataFrame:

@@ -196,3 +196,14 @@ def test_missing_ids_are_the_smallest(spark):
     drawn = spark.range(40).selectExpr("id as SK_ID_CURR", "'train' as split", "id % 2 as TARGET")
     with pytest.raises(splits.SplitError, match=r"\[10, 11, 12, 13, 14, 15, 16, 17, 18, 19\]"):
         splits.require_split_rows(drawn.where("SK_ID_CURR < 10"), drawn)
+
+
+def test_duplicate_keys_are_counted_in_bounded_tasks(spark, monkeypatch):
+    from creditweave.operators import inventory
+
+    monkeypatch.setattr(inventory, "KEYS_IN_TASK", 50, raising=False)
+    rows = [(i, "a") for i in range(1000)] + [(7, "a"), (8, "b"), (None, "a"), (None, "a"), (None, None)]
+    found = inventory.duplicate_keys(spark.createDataFrame(rows, "i int, k string").repartition(3), ["i", "k"])
+    assert sorted(found.collect(), key=str) == sorted([(7, "a", 2), (None, "a", 2)], key=str)
+    # As many tasks as the rows need, whatever the session's shuffle partitions are.
+    assert found.rdd.getNumPartitions() == 21
