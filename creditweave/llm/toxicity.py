@@ -18,9 +18,12 @@ over to forms of a word that no example has. Fitting takes a bounded sample of l
 
 The index is as large as the texts of the sample, whatever the size of the corpus, so tasks get
 it by broadcast. A text is scored whole, in its task: the postings of its rarer terms are added up
-for every example, and the bound for a block is its highest such sum and the sum of the block's
+for every example. A term's postings lie in runs of equal count, hence of one factor, so only their rows are read;
+terms with the same postings, as a word and most of its grams, are read once, with the sum of their weights.
+Sums over the common terms are one matrix product for `TOGETHER` texts. For a single text, as in fitting, the
+bound for a block is its highest such sum and the sum of the block's
 largest weights of the common terms; blocks are opened in descending order of the bound until
-none can hold a nearer example. The search is exact; ties go to the smaller
+none can hold a nearer example. Both ways are exact; ties go to the smaller
 example id. The vote is the mean label of the `k` nearest, weighted by cosine, with the share of
 toxic examples as a prior of weight `prior`.
 
@@ -52,7 +55,9 @@ GRAM = 6
 BLOCK = 64
 EVIDENCE = 3
 BUCKETS = 1 << 20
-COMMON = 128
+COMMON = 256
+TOGETHER = 64
+SLICED = 64
 
 
 @dataclass(frozen=True)
@@ -166,9 +171,10 @@ def _document_frequencies(documents: DataFrame, text: str, known: np.ndarray) ->
 class Index:
     """The model that tasks get.
 
-    Terms are in hash order; `bounds` are those of their postings, which are `rows` of examples and
-    `codes` of their counts; `tf` has the factor of each code, `norms` the length of each example (1 beyond the
-    last). `idf` goes on with the buckets of other terms. Rows of `largest` and of `dense` (block, example,
+    Terms are in hash order; `bounds` are those of their postings, which are `rows` of examples, and `first` those
+    of their runs of equal counts. A run's postings end where the next `starts`; `tf` has the factor of its code in
+    `codes`, `norms` the length of each example (1 beyond the last). `same` is the first term that has the same
+    postings. `idf` goes on with the buckets of other terms. Rows of `largest` and of `dense` (block, example,
     term) are the common terms.
     """
 
@@ -179,7 +185,10 @@ class Index:
     norms: np.ndarray
     bounds: np.ndarray
     rows: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
     codes: np.ndarray
+    same: np.ndarray
     tf: np.ndarray
     common: np.ndarray
     largest: np.ndarray
@@ -190,31 +199,68 @@ class Index:
     def weights(self, term: int) -> np.ndarray:
         """Of a term's postings."""
         some = slice(self.bounds[term], self.bounds[term + 1])
-        return self.tf[self.codes[some]] * self.idf[term] / self.norms[self.rows[some]]
+        runs = slice(self.first[term], self.first[term + 1])
+        lengths = np.diff(self.starts[runs.start : runs.stop + 1])
+        return np.repeat(self.tf[self.codes[runs]], lengths) * self.idf[term] / self.norms[self.rows[some]]
 
     def rare_sums(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
         """For each example, the sum over these terms; postings are read as they are stored."""
-        start = self.bounds[places].astype(np.int64)
-        length = self.bounds[places + 1] - start
-        upto = np.cumsum(length)
-        held = np.arange(upto[-1] if len(upto) else 0)
-        held += np.repeat(start + length - upto, length)
-        weighted = self.tf.take(self.codes.take(held))
-        weighted *= np.repeat(query * self.idf[places], length)
-        return np.bincount(self.rows.take(held), weighted, len(self.norms)) / self.norms
+        if not len(places):
+            return np.zeros(len(self.norms))
+        weights, places = query * self.idf[places], self.same[places]
+        order = np.argsort(places, kind="stable")
+        change = np.flatnonzero(np.diff(places[order], prepend=-1))
+        places, weights = places[order][change], np.add.reduceat(weights[order], change)
+        # Long postings are sliced, the many short ones gathered at once.
+        length = self.bounds[places + 1] - self.bounds[places]
+        long = length >= SLICED
+        cut = len(places) - np.count_nonzero(long)
+        order = np.concatenate([np.flatnonzero(~long), np.flatnonzero(long)])
+        places, weights, length = places[order], weights[order], length[order].astype(np.int64)
+        begins = self.bounds[places].astype(np.int64)
+        short = np.arange(length[:cut].sum()) + np.repeat((begins + length - np.cumsum(length))[:cut], length[:cut])
+        slices = [self.rows[a : a + n] for a, n in zip(begins[cut:].tolist(), length[cut:].tolist(), strict=True)]
+        rows = np.concatenate([self.rows[short], *slices])
+        first = self.first[places].astype(np.int64)
+        count = self.first[places + 1] - first
+        runs = np.arange(count.sum()) + np.repeat(first + count - np.cumsum(count), count)
+        weights = self.tf[self.codes[runs]] * np.repeat(weights, count)
+        weights = np.repeat(weights, self.starts[runs + 1] - self.starts[runs])
+        return np.bincount(rows, weights, len(self.norms)) / self.norms
 
     def vector(self, places: np.ndarray, counts: np.ndarray, others: float = 0.0) -> np.ndarray:
         """Weights of the indexed terms; `others` is the squared weight of the text's other terms."""
         weights = (1.0 + np.log(counts)) * self.idf[places]
         return weights / np.sqrt(weights @ weights + others)
 
+    def wide(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The query over the common terms."""
+        at = self.common[places]
+        some = at >= 0
+        places = places[some]
+        return np.bincount(at[some], query[some] * self.idf[places] / self.idf[self.same[places]], len(self.largest))
+
+    def common_sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query and example, the sum over the common terms."""
+        wide = np.array([self.wide(*query) for query in queries])
+        return wide @ self.dense.reshape(-1, len(self.largest)).T
+
+    def nearest_given(self, places: np.ndarray, query: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `nearest`, with the sums over the common terms."""
+        k, n = self.fit.k, len(self.examples)
+        rare = self.common[places] < 0
+        scores = (self.rare_sums(places[rare], query[rare]) + sums)[:n]
+        least = np.partition(scores, n - k)[n - k] - 1e-9 if n > k else 0.0
+        rows = np.flatnonzero((scores > 0) & (scores >= least))
+        held = scores[rows]
+        best = np.lexsort((self.examples[rows], -np.round(held, 9)))[:k]
+        return rows[best], held[best]
+
     def nearest(self, places: np.ndarray, query: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the nearest examples, by blocks in descending order of bound."""
         k, n = self.fit.k, len(self.examples)
-        at = self.common[places]
-        rare = at < 0
-        wide = np.zeros(len(self.largest))
-        wide[at[~rare]] = query[~rare]
+        rare = self.common[places] < 0
+        wide = self.wide(places, query)
         sums = self.rare_sums(places[rare], query[rare]).reshape(-1, BLOCK)
         bound = sums.max(1) + wide @ self.largest
         order = np.argsort(-bound, kind="stable")
@@ -359,6 +405,27 @@ def _related(term: np.ndarray, label: np.ndarray, rows: float, toxic: float, siz
     return np.divide(cross * cross, below, out=np.zeros(size), where=below > 0)
 
 
+def _same_postings(bounds: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each term the first term with the same rows and codes."""
+    n = len(bounds) - 1
+    if not n:
+        return np.zeros(0, np.int32)
+    value = codes.astype(np.uint64) << np.uint64(32) | rows
+    mixed = (value + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    _, found, of = np.unique(np.add.reduceat(mixed, bounds[:-1]), return_index=True, return_inverse=True)
+    del mixed
+    same = found[of].astype(np.int32)
+    # Hashes may agree by chance.
+    length = np.diff(bounds)
+    at = np.arange(len(rows), dtype=np.int32) + np.repeat(bounds[same] - bounds[:-1], length)
+    equal = value == value[np.minimum(at, len(rows) - 1)]
+    alike = (length == length[same]) & np.logical_and.reduceat(equal, bounds[:-1])
+    return np.where(alike, same, np.arange(n, dtype=np.int32))
+
+
 def _index(found: pa.Table, frequencies, rows: float, fit: Fit) -> Index:
     """`frequencies` gives document frequencies of terms, `rows` is the number of documents."""
     ids = found["example"].to_numpy()
@@ -400,26 +467,35 @@ def _index(found: pa.Table, frequencies, rows: float, fit: Fit) -> Index:
     labels, examples = everyone[indexed], ids[indexed]
     renumbered = np.zeros(len(ids), np.min_scalar_type(max(0, len(indexed) - 1)))
     renumbered[indexed] = np.arange(len(indexed))
-    by_term = np.argsort(place, kind="stable")
-    rows_by_term, codes_by_term = renumbered[owner[by_term]], codes[by_term]
+    key = place.astype(np.int64) * max(1, len(tf)) + codes
+    by_term = np.argsort(key, kind="stable")
+    key = key[by_term]
+    starts = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
+    del key
+    rows_by_term, codes_of_runs = renumbered[owner[by_term]], codes[by_term[starts]]
+    first = np.searchsorted(place[by_term[starts]], np.arange(len(unsigned) + 1)).astype(np.int32)
+    starts = np.append(starts, np.int32(len(place)))
     del by_term, owner, codes
     bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(unsigned)))]).astype(np.int32)
     del place
     blocks = -(-max(1, len(examples)) // BLOCK)
     lengths = np.ones(blocks * BLOCK)
     lengths[: len(indexed)] = norms[indexed]
-    # Terms of a quarter of the examples or more, at most `COMMON`, are held densely.
+    # Terms of a twelfth of the examples or more, at most `COMMON`, are held densely.
+    same = _same_postings(bounds, rows_by_term, np.repeat(codes_of_runs, np.diff(starts)))
     held_by = np.diff(bounds)
-    often = np.argsort(-held_by, kind="stable")[:COMMON]
-    often = often[held_by[often] * 4 >= max(1, len(examples))]
+    often = np.flatnonzero(same == np.arange(len(same)))
+    often = often[np.argsort(-held_by[often], kind="stable")[:COMMON]]
+    often = often[held_by[often] * 12 >= max(1, len(examples))]
     common = np.full(len(unsigned), -1, np.int16)
     common[often] = np.arange(len(often))
+    common = common[same]
     dense = np.zeros((blocks, BLOCK, len(often)))
     without = everyone[norms == 0]
     share = float(everyone.mean()) if len(everyone) else 0.0
     apart = (float(without.sum()) + share) / (len(without) + 1.0)
     index = Index(
-        unsigned, idf, examples, labels, lengths, bounds, rows_by_term, codes_by_term, tf, common, dense.max(1).T, dense, apart, fit
+        unsigned, idf, examples, labels, lengths, bounds, rows_by_term, first, starts, codes_of_runs, same, tf, common, dense.max(1).T, dense, apart, fit
     )
     for at, term in enumerate(often):
         held = rows_by_term[bounds[term] : bounds[term + 1]].astype(np.int64)
@@ -442,14 +518,17 @@ def _score_batch(model: Model, texts: pa.Array) -> pa.StructArray:
             others = np.bincount(text[~hit], squares, end - start)
             text, places, counts = text[hit], number[hit], counts[hit]
             bounds = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else [0]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                query = index.vector(places[a:b], counts[a:b], others[text[a]])
-                rows, cosines = index.nearest(places[a:b], query)
-                scores[start + text[a]] = model.calibrated(index.vote(rows, cosines, share))
-                evidence[start + text[a]] = [
-                    {"example": int(index.examples[r]), "cosine": float(c), "toxic": int(index.labels[r])}
-                    for r, c in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)
-                ]
+            spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+            for at in range(0, len(spans), TOGETHER):
+                some = spans[at : at + TOGETHER]
+                queries = [(places[a:b], index.vector(places[a:b], counts[a:b], others[text[a]])) for a, b in some]
+                for (a, _), query, sums in zip(some, queries, index.common_sums(queries), strict=True):
+                    rows, cosines = index.nearest_given(*query, sums)
+                    scores[start + text[a]] = model.calibrated(index.vote(rows, cosines, share))
+                    evidence[start + text[a]] = [
+                        {"example": int(index.examples[r]), "cosine": float(c), "toxic": int(index.labels[r])}
+                        for r, c in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)
+                    ]
     kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     return pa.StructArray.from_arrays([pa.array(scores), pa.array(evidence, kind)], ["score", "evidence"])
 

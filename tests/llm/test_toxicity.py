@@ -206,3 +206,28 @@ def test_search_keeps_no_spread_postings(spark):
     assert not index.rare_sums(places[:0], query[:0]).any()
     index.nearest(places, query)
     assert set(vars(index)) == set(index.__dataclass_fields__)
+
+
+def test_search_of_many_texts_equals_that_of_one(spark):
+    """Scoring multiplies the common terms once for many texts, and finds what a search by blocks finds."""
+    rows, labels = corpus(spark, 300)
+    index, _ = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), toxicity.Fit(k=9), "text", "doc_id", "toxic")
+    # A run holds the postings of a term and count, and none is empty.
+    assert index.first[-1] == len(index.codes) and (np.diff(index.starts) > 0).all()
+    assert np.array_equal(index.starts[index.first], index.bounds)
+    assert (index.common >= 0).any() and (np.diff(index.first) > 1).any()
+    # Terms share postings only if rows and counts are the same.
+    def postings(t):
+        some = slice(index.bounds[t], index.bounds[t + 1])
+        return index.rows[some].tobytes(), (index.weights(t) / index.idf[t]).round(12).tobytes()
+
+    assert np.array_equal(index.same[index.same], index.same) and len(set(index.same)) < len(index.same)
+    assert all(postings(t) == postings(index.same[t]) for t in range(len(index.terms)))
+    rng = np.random.default_rng(1)
+    queries = []
+    for size in [0, 1, 2, *rng.integers(1, len(index.terms), 40)]:
+        places = np.sort(rng.choice(len(index.terms), size, replace=False))
+        queries.append((places, index.vector(places, rng.integers(1, 4, size), 0.5)))
+    for query, sums in zip(queries, index.common_sums(queries), strict=True):
+        (found, held), (want, cosines) = index.nearest_given(*query, sums), index.nearest(*query)
+        assert found.tolist() == want.tolist() and np.allclose(held, cosines, rtol=0, atol=1e-12)
