@@ -11,7 +11,8 @@ A candidate that any longer one explains, because it occurs as often, is dropped
   the depth of the longest phrase. A phrase is a pair of intervals, one per direction. All intervals of
   a length are extended at once: a step of the last-to-first map gives the words that stand before
   (or, in the reversed text, behind) each, with their counts, and the interval of each extension.
-* First all words and all pairs of words are enumerated, and their counts summed across shards by a hash.
+* First all words and all pairs of words are enumerated, and their counts summed by a hash: first those of a task's
+  shards, of all languages together, then across tasks.
   A sum is at least the count of each word or pair in it, so where it stays below `least` none is frequent,
   nor any phrase that holds one. The others are bit maps, one bucket for about eight words of the corpus and
   `MOST_BUCKETS` at most; a crowded map prunes less, and never wrongly.
@@ -50,6 +51,8 @@ LEAST = 100
 TOP = 2000
 SHARD_BYTES = 6 << 20
 MOST_BUCKETS = 1 << 28
+# Sums that a task holds before it writes them, twenty bytes each.
+HELD_SUMS = 1 << 21
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -111,7 +114,7 @@ _SHARD = pa.schema(
     ]
 )
 _SHARD_DDL = "kind string, lang string, part int, places binary, held binary, n bigint"
-# Rows of a shard: its word numbers (`places`), words (`held`) and size (`n`); its sums of words and of pairs by bucket.
+# A row of a shard: its word numbers (`places`), words (`held`) and size (`n`). Rows of a task: sums of words and of pairs by bucket.
 _NUMBERS, _WORDS, _PAIRS = "numbers", "words", "pairs"
 # In the second round: sums of longer phrases, and the words that are needed.
 _LONGER, _NEEDED = "longer", "needed"
@@ -139,6 +142,46 @@ def _unpacked_numbers(values: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def _summed(at: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    if not len(at):
+        return at, np.zeros(0, np.uint8)
+    order = np.argsort(at, kind="stable")
+    filled, starts = np.unique(at[order], return_index=True)
+    return filled, np.minimum(np.add.reduceat(counts[order].astype(np.int64), starts), least).astype(np.uint8)
+
+
+class _Sums:
+    """Sums by bucket of a task's shards, of all languages together.
+
+    The more buckets of a block are filled, the less a row of them costs for each; so shards are added up first.
+    """
+
+    def __init__(self, least: int):
+        self.least = least
+        self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, kind: str, at: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+        """Rows of what is held, where that is too much."""
+        self.held.setdefault(kind, []).append((at, counts))
+        if sum(len(part) for part, _ in self.held[kind]) > HELD_SUMS:
+            yield from self.rows(kind)
+
+    def all(self) -> Iterator[dict]:
+        for kind in list(self.held):
+            yield from self.rows(kind)
+
+    def rows(self, kind: str) -> Iterator[dict]:
+        """Blocks of buckets."""
+        parts = self.held.pop(kind)
+        filled, values = _summed(*(np.concatenate(column) for column in zip(*parts, strict=True)), self.least)
+        block, places = filled // _BLOCK, (filled % _BLOCK).astype(np.uint16)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        for i, j in zip(first, np.append(first, len(filled))[1:], strict=True):
+            steps = np.diff(places[i:j], prepend=np.uint16(0))
+            held = _packed(values[i:j].tobytes())
+            yield {"kind": kind, "part": int(block[i]), "places": _packed_numbers(steps), "held": held}
+
+
 class _Shard:
     """Word numbers from 1 with a 0 after every piece, the words, and their hashes with the language's."""
 
@@ -158,46 +201,42 @@ class _Shard:
         mixed *= _ODD
         return (mixed >> np.uint64(32)).astype(np.int64) & (n - 1)
 
-    def sums(self, rows: np.ndarray, counts: np.ndarray, n: int, least: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """Counts by bucket, in blocks of buckets. Beyond `least` a count need not be exact."""
-        if not len(rows):
-            return
-        at = self.buckets(rows, n)
-        order = np.argsort(at, kind="stable")
-        filled, starts = np.unique(at[order], return_index=True)
-        values = np.minimum(np.add.reduceat(counts[order], starts), least).astype(np.uint8)
-        block, places = filled // _BLOCK, (filled % _BLOCK).astype(np.uint16)
-        first = np.flatnonzero(np.diff(block, prepend=-1))
-        for i, j in zip(first, np.append(first, len(filled))[1:], strict=True):
-            steps = np.diff(places[i:j], prepend=np.uint16(0))
-            yield int(block[i]), _packed_numbers(steps), _packed(values[i:j].tobytes())
+    def sums(self, rows: np.ndarray, counts: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Filled buckets and their counts. Beyond `least` a count need not be exact."""
+        return _summed(self.buckets(rows, n), np.minimum(counts, least), least)
 
     def row(self, kind: str, part: int, places: bytes, held: bytes, n: int | None = None) -> dict:
         return {"kind": kind, "lang": self.lang, "part": part, "places": places, "held": held, "n": n}
 
-    def rows(self, buckets: int, least: int) -> Iterator[dict]:
-        counts = np.bincount(self.ids, minlength=len(self.words) + 1)[1:]
+    def stored(self) -> dict:
         # No word holds a blank.
         texts = " ".join(self.words.to_pylist()).encode("utf-8", "surrogatepass")
-        yield self.row(_NUMBERS, 0, _packed_numbers(self.ids), _packed(texts), int(counts.sum()))
+        return self.row(_NUMBERS, 0, _packed_numbers(self.ids), _packed(texts), int(np.count_nonzero(self.ids)))
+
+    def pair_sums(self, buckets: int, least: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Sums of words and of pairs."""
+        counts = np.bincount(self.ids, minlength=len(self.words) + 1)[1:]
         singles = np.arange(1, len(self.words) + 1)[:, None]
-        for sums in self.sums(singles, counts, buckets, least):
-            yield self.row(_WORDS, *sums)
+        yield _WORDS, *self.sums(singles, counts, buckets, least)
         for pairs, found in Index(self.ids, 2).phrases(2):
-            for sums in self.sums(pairs, found, buckets, least):
-                yield self.row(_PAIRS, *sums)
+            yield _PAIRS, *self.sums(pairs, found, buckets, least)
 
 
 def _make_shards(buckets: int, least: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[pa.Array]] = {}
         held: dict[str, int] = {}
+        sums = _Sums(least)
 
         def emptied(lang):
             held.pop(lang)
             shard = _Shard(lang, *_numbered(pa.chunked_array(waiting.pop(lang))))
-            for row in shard.rows(buckets, least) if len(shard.words) else ():
-                yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
+            if not len(shard.words):
+                return
+            yield pa.RecordBatch.from_pylist([shard.stored()], schema=_SHARD)
+            for found in shard.pair_sums(buckets, least):
+                for row in sums.add(*found):
+                    yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
         for batch in batches:
             table = pa.table(batch)
@@ -214,6 +253,8 @@ def _make_shards(buckets: int, least: int):
                         yield from emptied(max(held, key=held.get))
         for lang in list(held):
             yield from emptied(lang)
+        for row in sums.all():
+            yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
     return make
 
@@ -400,6 +441,7 @@ def _each(batches: Iterator[pa.RecordBatch], sift):
 def _longer_sums(longest: int, buckets: int, least: int, crowded):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of longer phrases by bucket, and the buckets of words in pairs."""
+        sums = _Sums(least)
         for shard, found in _each(batches, _sifted(longest, buckets, crowded)):
             for rows, counts in found[1:]:
                 if rows.shape[1] == 2:
@@ -407,8 +449,10 @@ def _longer_sums(longest: int, buckets: int, least: int, crowded):
                     counts = np.full(len(rows), least)
                 else:
                     kind = _LONGER
-                for sums in shard.sums(rows, counts, buckets, least):
-                    yield pa.RecordBatch.from_pylist([shard.row(kind, *sums)], schema=_SHARD)
+                for row in sums.add(kind, *shard.sums(rows, counts, buckets, least)):
+                    yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
+        for row in sums.all():
+            yield pa.RecordBatch.from_pylist([row], schema=_SHARD)
 
     return count
 

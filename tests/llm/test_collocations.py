@@ -127,3 +127,28 @@ def test_score_is_exact_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", n)], "lang string, total bigint")
     got = co.best_phrases(phrases, totals, 10).first()
     assert got.score == 1000 * a * n // (left * right)
+
+
+def test_sums_of_shards_meet_in_their_task(monkeypatch):
+    """Shards of a task, of any language, are added up before their sums are written."""
+    import pyarrow as pa
+
+    texts = [(lang, f"w{i} w{i * 7 % 50} w{i * 3 % 20}") for i in range(300) for lang in ("de", "en")]
+    batch = pa.RecordBatch.from_pylist([{"lang": k, "text": t} for k, t in texts])
+
+    def sums():
+        rows = [r for b in co._make_shards(1 << 17, 200)(iter([batch])) for r in b.to_pylist()]
+        total = Counter()
+        for r in rows:
+            if r["kind"] != co._NUMBERS:
+                at = np.cumsum(co._unpacked_numbers(r["places"], np.uint16), dtype=np.int64)
+                for place, n in zip(at, co._unpacked(r["held"]), strict=True):
+                    total[r["kind"], r["part"], int(place)] += n
+        return total, [(r["kind"], r["part"]) for r in rows if r["kind"] != co._NUMBERS]
+
+    together, keys = sums()
+    assert len(keys) == len(set(keys)) == 4 and sum(n for (kind, *_), n in together.items() if kind == "words") == 1800
+    monkeypatch.setattr(co, "HELD_SUMS", 10)
+    monkeypatch.setattr(co, "SHARD_BYTES", 900)
+    apart, keys = sums()
+    assert apart == together and len(keys) > 20
