@@ -14,6 +14,8 @@ over to forms of a word that no example has. Fitting takes a bounded sample of l
 * Each example becomes a TF-IDF vector of unit length, and the vectors an inverted index: for
   each term the examples that have it, with their counts as numbers of few bits, from which the weights follow.
   Examples are numbered in blocks, and each term that many examples have knows its largest weight in each block.
+  Tasks order the postings, each those of a range of hashes; the driver gets them in order, as runs of equal count,
+  and works through them `STRETCH` at a time.
 * Votes are calibrated: the leave-one-out votes of the examples, taken in tasks, are binned and made monotone.
 
 The index is as large as the texts of the sample, whatever the size of the corpus, so tasks get
@@ -58,6 +60,8 @@ BUCKETS = 1 << 20
 COMMON = 256
 TOGETHER = 64
 SLICED = 64
+PARTS = 64
+STRETCH = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -127,6 +131,55 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_DEALT_DDL = "part int, row array<int>, term array<bigint>, n array<int>"
+_ORDERED_DDL = "part int, term array<bigint>, runs array<int>, n array<int>, length array<int>, row array<int>"
+
+
+def _dealt(ids: np.ndarray):
+    """Postings by the range their term's hash is in; `row` is the example's place in `ids`."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                row = np.searchsorted(ids, some["example"].to_numpy()).astype(np.int32)
+                row = np.repeat(row, pc.list_value_length(some["term"]).to_numpy())
+                term, n = (pc.list_flatten(some[c]).to_numpy() for c in ("term", "n"))
+                part = (term.view(np.uint64) // np.uint64(2**64 // PARTS)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                bounds = pa.array(np.searchsorted(part[order], np.arange(PARTS + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in (row, term, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(PARTS, dtype=np.int32)), *lists], names=["part", "row", "term", "n"]
+                )
+
+    return deal
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """The postings of a range by term, count and row: terms with their numbers of runs, runs with their lengths."""
+    row, term, n = (pc.list_flatten(table[c]).to_numpy() for c in ("row", "term", "n"))
+    # Hashes of a range have the same sign, so their order is that of unsigned ones.
+    order = np.lexsort((row, n, term))
+    row, term, n = row[order], term[order], n[order]
+    new_term, new_run = np.ones(len(term), bool), np.ones(len(term), bool)
+    new_term[1:] = term[1:] != term[:-1]
+    new_run[1:] = new_term[1:] | (n[1:] != n[:-1])
+    starts = np.flatnonzero(new_run)
+    firsts = np.flatnonzero(new_term[starts])
+    runs = np.diff(np.append(firsts, len(starts))).astype(np.int32)
+    length = np.diff(np.append(starts, len(term))).astype(np.int32)
+    lists = [pa.array([x], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in (term[new_term], runs, n[starts], length, row)]
+    return pa.Table.from_arrays([table["part"][:1], *lists], names=["part", "term", "runs", "n", "length", "row"])
+
+
+def _postings(vectors: DataFrame, ids: np.ndarray) -> DataFrame:
+    """A row for each range of hashes, in any order."""
+    ordered = vectors.mapInArrow(_dealt(ids), _DEALT_DDL).groupBy("part").applyInArrow(_ordered, _ORDERED_DDL)
+    # Rows go to the driver as narrow as they can be.
+    return ordered.withColumn("row", F.col("row").cast("array<smallint>")) if len(ids) < 1 << 15 else ordered
+
+
 def _numbers(known: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """The places of terms among the known ones; others get one of `BUCKETS` numbers above."""
     other = len(known) + (terms >> np.uint64(40)).astype(np.int64) % BUCKETS
@@ -335,6 +388,7 @@ def fit_model(
     index, vectors = fit_index(documents, labels, fit, text, key, label)
     share = float(index.labels.mean()) if len(index.labels) else 0.0
     shared = documents.sparkSession.sparkContext.broadcast(index)
+    del index
     votes = _left_out(vectors, shared, share).toArrow().sort_by("example")
     edges, levels = _calibrate(votes["vote"].to_numpy(), votes["label"].to_numpy(), fit.bins)
     return Model(shared, share, edges, levels)
@@ -392,17 +446,18 @@ def fit_index(
         "toxicity-terms",
     ).frame
     rows = float(documents.count())
-    index = _index(vectors.toArrow(), lambda known: _document_frequencies(documents, text, known), rows, fit)
+    known = vectors.select("example", "label").toArrow().sort_by("example")
+    ids, everyone = known["example"].to_numpy(), known["label"].to_numpy().astype(float)
+    found = _postings(vectors, ids).toArrow()
+    index = _index(found, ids, everyone, lambda known: _document_frequencies(documents, text, known), rows, fit)
     return index, vectors
 
 
-def _related(term: np.ndarray, label: np.ndarray, rows: float, toxic: float, size: int) -> np.ndarray:
-    """Squared correlation of each term with the label."""
-    df = np.bincount(term, minlength=size).astype(float)
-    hit = np.bincount(term, label, size)
+def _related(df: np.ndarray, hit: np.ndarray, rows: float, toxic: float) -> np.ndarray:
+    """Squared correlation with the label of terms that `df` examples have, `hit` of them toxic."""
     cross = hit * (rows - toxic - (df - hit)) - (df - hit) * (toxic - hit)
     below = df * (rows - df) * toxic * (rows - toxic)
-    return np.divide(cross * cross, below, out=np.zeros(size), where=below > 0)
+    return np.divide(cross * cross, below, out=np.zeros(len(df)), where=below > 0)
 
 
 def _same_postings(bounds: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -410,80 +465,94 @@ def _same_postings(bounds: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> n
     n = len(bounds) - 1
     if not n:
         return np.zeros(0, np.int32)
-    value = codes.astype(np.uint64) << np.uint64(32) | rows
-    mixed = (value + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    _, found, of = np.unique(np.add.reduceat(mixed, bounds[:-1]), return_index=True, return_inverse=True)
+    length = np.diff(bounds)
+    stretches = list(pieces(bounds.astype(np.int64), STRETCH))
+    mixed = np.empty(n, np.uint64)
+    for a, b in stretches:
+        some = slice(bounds[a], bounds[b])
+        value = (codes[some].astype(np.uint64) << np.uint64(32) | rows[some]) + np.uint64(1)
+        value *= np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        value ^= value >> np.uint64(32)
+        mixed[a:b] = np.add.reduceat(value, bounds[a:b] - bounds[a])
+    _, found, of = np.unique(mixed, return_index=True, return_inverse=True)
     del mixed
     same = found[of].astype(np.int32)
     # Hashes may agree by chance.
-    length = np.diff(bounds)
-    at = np.arange(len(rows), dtype=np.int32) + np.repeat(bounds[same] - bounds[:-1], length)
-    equal = value == value[np.minimum(at, len(rows) - 1)]
-    alike = (length == length[same]) & np.logical_and.reduceat(equal, bounds[:-1])
+    alike = length == length[same]
+    for a, b in stretches:
+        some = slice(bounds[a], bounds[b])
+        at = np.arange(some.start, some.stop) + np.repeat(bounds[same[a:b]] - bounds[a:b], length[a:b])
+        at = np.minimum(at, len(rows) - 1)
+        equal = (rows[some] == rows[at]) & (codes[some] == codes[at])
+        alike[a:b] &= np.logical_and.reduceat(equal, bounds[a:b] - bounds[a])
     return np.where(alike, same, np.arange(n, dtype=np.int32))
 
 
-def _index(found: pa.Table, frequencies, rows: float, fit: Fit) -> Index:
-    """`frequencies` gives document frequencies of terms, `rows` is the number of documents."""
-    ids = found["example"].to_numpy()
-    everyone = found["label"].to_numpy().astype(float)
-    owner = np.repeat(np.arange(len(ids), dtype=np.int32), pc.list_value_length(found["term"]).to_numpy())
-    terms = pc.list_flatten(found["term"]).to_numpy().view(np.uint64)
-    count = pc.list_flatten(found["n"]).to_numpy()
-    # Arrays of all postings are the driver's largest; each goes as soon as it is used.
+def _index(found: pa.Table, ids: np.ndarray, everyone: np.ndarray, frequencies, rows: float, fit: Fit) -> Index:
+    """`found` are the `_postings` of the examples `ids` with the labels `everyone`, `frequencies` gives document
+    frequencies of terms, `rows` is the number of documents."""
+    parts = np.argsort(found["part"].to_numpy()).tolist()
+
+    def joined(column: str) -> np.ndarray:
+        kind = found.schema.field(column).type.value_type.to_pandas_dtype()
+        return np.concatenate([np.zeros(0, kind), *(found[column][i].values.to_numpy() for i in parts)])
+
+    unsigned = joined("term").view(np.uint64)
+    first = np.concatenate([[0], np.cumsum(joined("runs"))]).astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(joined("length"))]).astype(np.int32)
+    known_counts, codes = np.unique(joined("n"), return_inverse=True)
+    tf = 1.0 + np.log(known_counts)
+    codes = codes.astype(np.min_scalar_type(max(0, len(tf) - 1)))
+    holder = joined("row")
     del found
-    order = np.argsort(terms)
-    terms = terms[order]
-    new = np.ones(len(terms), bool)
-    new[1:] = terms[1:] != terms[:-1]
-    unsigned = terms[new]
-    del terms
-    place = np.empty(len(order), np.int32)
-    place[order] = np.cumsum(new, dtype=np.int32) - 1
-    del order, new
+    bounds = starts[first]
+    held_by = np.diff(bounds)
+    # Arrays over all postings are the driver's largest; only their rows and codes are held whole.
+    stretches = list(pieces(bounds.astype(np.int64), STRETCH))
     dfs = frequencies(unsigned)
     idf = np.log((1.0 + rows) / (1.0 + dfs)) + 1.0
-    related = _related(place, everyone[owner], float(len(ids)), everyone.sum(), len(unsigned))
-    related[np.bincount(place, minlength=len(unsigned)) < fit.least_rows] = 0.0
+    del dfs
+    toxic = np.zeros(len(unsigned))
+    for a, b in stretches:
+        toxic[a:b] = np.add.reduceat(everyone[holder[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a])
+    related = _related(held_by.astype(float), toxic, float(len(ids)), everyone.sum())
+    related[held_by < fit.least_rows] = 0.0
     idf[: len(unsigned)] *= 1.0 + fit.emphasis * np.sqrt(related)
-    known_counts, codes = np.unique(count, return_inverse=True)
-    tf = 1.0 + np.log(known_counts)
-    codes = codes.astype(np.min_scalar_type(max(0, len(tf) - 1)))
-    del count
-    weight = tf[codes] * idf[place]
-    norms = np.sqrt(np.bincount(owner, weight**2, len(ids)))
+    del toxic, related
+
+    def weighted(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weights of the postings of some terms."""
+        lengths = np.diff(starts[first[a] : first[b] + 1])
+        weight = np.repeat(tf[codes[first[a] : first[b]]], lengths) * np.repeat(idf[a:b], held_by[a:b])
+        return holder[bounds[a] : bounds[b]], weight
+
+    squares, most = np.zeros(len(ids)), np.zeros(len(ids))
+    for a, b in stretches:
+        row, weight = weighted(a, b)
+        np.add.at(squares, row, weight**2)
+        np.maximum.at(most, row, weight)
+    norms = np.sqrt(squares)
     # Examples that share their heaviest term get neighbouring numbers, so that a block holds
     # like examples and its largest weights are tight bounds.
-    starts = np.searchsorted(owner, np.arange(len(ids) + 1))
-    heaviest = np.full(len(ids), -1)
-    for i in np.flatnonzero(np.diff(starts)):
-        heaviest[i] = place[starts[i] + np.argmax(weight[starts[i] : starts[i + 1]])]
-    del weight
+    heaviest = np.full(len(ids), len(unsigned))
+    for a, b in stretches:
+        row, weight = weighted(a, b)
+        top = np.flatnonzero(weight == most[row])
+        np.minimum.at(heaviest, row[top], np.searchsorted(bounds, bounds[a] + top, side="right") - 1)
     indexed = np.flatnonzero(norms > 0)
     indexed = indexed[np.lexsort((ids[indexed], heaviest[indexed]))]
     labels, examples = everyone[indexed], ids[indexed]
     renumbered = np.zeros(len(ids), np.min_scalar_type(max(0, len(indexed) - 1)))
     renumbered[indexed] = np.arange(len(indexed))
-    key = place.astype(np.int64) * max(1, len(tf)) + codes
-    by_term = np.argsort(key, kind="stable")
-    key = key[by_term]
-    starts = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
-    del key
-    rows_by_term, codes_of_runs = renumbered[owner[by_term]], codes[by_term[starts]]
-    first = np.searchsorted(place[by_term[starts]], np.arange(len(unsigned) + 1)).astype(np.int32)
-    starts = np.append(starts, np.int32(len(place)))
-    del by_term, owner, codes
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(unsigned)))]).astype(np.int32)
-    del place
+    rows_by_term = renumbered[holder]
+    del holder
     blocks = -(-max(1, len(examples)) // BLOCK)
     lengths = np.ones(blocks * BLOCK)
     lengths[: len(indexed)] = norms[indexed]
     # Terms of a twelfth of the examples or more, at most `COMMON`, are held densely.
-    same = _same_postings(bounds, rows_by_term, np.repeat(codes_of_runs, np.diff(starts)))
-    held_by = np.diff(bounds)
+    same = _same_postings(bounds, rows_by_term, np.repeat(codes, np.diff(starts)))
     often = np.flatnonzero(same == np.arange(len(same)))
     often = often[np.argsort(-held_by[often], kind="stable")[:COMMON]]
     often = often[held_by[often] * 12 >= max(1, len(examples))]
@@ -495,7 +564,7 @@ def _index(found: pa.Table, frequencies, rows: float, fit: Fit) -> Index:
     share = float(everyone.mean()) if len(everyone) else 0.0
     apart = (float(without.sum()) + share) / (len(without) + 1.0)
     index = Index(
-        unsigned, idf, examples, labels, lengths, bounds, rows_by_term, first, starts, codes_of_runs, same, tf, common, dense.max(1).T, dense, apart, fit
+        unsigned, idf, examples, labels, lengths, bounds, rows_by_term, first, starts, codes, same, tf, common, dense.max(1).T, dense, apart, fit
     )
     for at, term in enumerate(often):
         held = rows_by_term[bounds[term] : bounds[term + 1]].astype(np.int64)

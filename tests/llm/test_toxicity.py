@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -231,3 +232,19 @@ def test_search_of_many_texts_equals_that_of_one(spark):
     for query, sums in zip(queries, index.common_sums(queries), strict=True):
         (found, held), (want, cosines) = index.nearest_given(*query, sums), index.nearest(*query)
         assert found.tolist() == want.tolist() and np.allclose(held, cosines, rtol=0, atol=1e-12)
+
+
+def test_driver_holds_few_bytes_per_posting(spark, monkeypatch):
+    """The driver gets the postings in order, and keeps no array over them but their rows and codes."""
+    rows = [(i, " ".join(f"{i * j % 9973:07d}" for j in range(300))) for i in range(1500)]
+    # Leaves out what does not grow with the postings.
+    monkeypatch.setattr(toxicity, "BUCKETS", 1024)
+    monkeypatch.setattr(toxicity, "COMMON", 8)
+    monkeypatch.setattr(toxicity, "_document_frequencies", lambda documents, text, known: np.full(len(known) + 1024, 2.0))
+    frame, labels = documents(spark, rows), label_frame(spark, [(i, i % 2) for i, _ in rows])
+    tracemalloc.start()
+    index, _ = toxicity.fit_index(frame, labels, toxicity.Fit(), "text", "doc_id", "toxic")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.examples) == 1500 and len(index.rows) > 1_000_000
+    assert peak < 30 * len(index.rows)
