@@ -46,6 +46,9 @@ HASHES = 36
 LEAST_BOUND = 8
 MOST_BITS = 1 << 28
 BITS_PER_KEY = 64
+# Bytes of texts, and of words, that a task works on at once.
+PIECE = 1 << 18
+STRETCH = 1 << 16
 
 _ODD = np.uint64(0x100000001B3)
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
@@ -69,27 +72,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-class _Powers:
-    """Grown as needed and kept by the Python worker."""
-
-    forward = _powers(int(_ODD), 1)
-    back = _powers(_inverse(int(_ODD)), 1)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.forward) < n:
-            cls.forward = _powers(int(_ODD), 2 * n)
-            cls.back = _powers(_inverse(int(_ODD)), 2 * n)
-        return cls.forward[:n], cls.back[:n]
+_FORWARD, _BACK = (_powers(base, STRETCH + 1) for base in (int(_ODD), _inverse(int(_ODD))))
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from one running sum over all bytes."""
-    forward, back = _Powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=total[1:])
-    starts = bounds[:-1]
-    return _mix((total[bounds[1:]] - total[starts]) * back[starts])
+    """A 64-bit hash of each word, from running sums over stretches of whole words."""
+    out = np.zeros(len(bounds) - 1, np.uint64)
+    for a, b in pieces(bounds, STRETCH):
+        part = data[bounds[a] : bounds[b]].astype(np.uint64)
+        # Longer than a stretch is only a single word; its powers are not kept.
+        forward = _FORWARD if len(part) <= STRETCH else _powers(int(_ODD), len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        part += np.uint64(1)
+        part *= forward[: len(part)]
+        np.cumsum(part, out=total[1:])
+        places = bounds[a : b + 1] - bounds[a]
+        out[a:b] = _mix((total[places[1:]] - total[places[:-1]]) * _BACK[places[:-1]])
+    return out
 
 
 def shingle_hashes(found_hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +188,7 @@ class Bloom:
 def _hashed(column) -> Iterator[tuple[int, int, object, np.ndarray, np.ndarray]]:
     """For pieces of a batch: its range, words, and shingle hashes with their bounds."""
     raw, bounds = utf8(column)
-    for start, end in pieces(bounds):
+    for start, end in pieces(bounds, PIECE):
         part = bounds[start : end + 1] - bounds[start]
         found = words(raw[bounds[start] : bounds[end]], part, NOT_ALNUM, lower=True)
         yield start, end, found, *shingle_hashes(word_hashes(found.data, found.bounds), found.first)

@@ -41,6 +41,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,8 @@ TOGETHER = 64
 SLICED = 64
 PARTS = 64
 STRETCH = 1 << 18
+# Bytes of texts whose terms a task has at once.
+PIECE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -91,7 +94,7 @@ def _grams(found: Words) -> tuple[np.ndarray, np.ndarray]:
 def _terms(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For pieces of a batch: its range, term hashes, and the text of each."""
     raw, bounds = utf8(column)
-    for start, end in pieces(bounds):
+    for start, end in pieces(bounds, PIECE):
         part = bounds[start : end + 1] - bounds[start]
         found = words(raw[bounds[start] : bounds[end]], part, NOT_ALNUM, lower=True)
         text = found.text_of_word()
@@ -206,7 +209,7 @@ def _document_frequencies(documents: DataFrame, text: str, known: np.ndarray) ->
         for batch in batches:
             for _, _, terms, texts in _terms(batch.column(0)):
                 _, number, _ = _counted_numbers(texts, _numbers(shared.value, terms))
-                total += np.bincount(number, minlength=len(total))
+                np.add.at(total, number, 1)
         held = np.flatnonzero(total)
         for at in range(0, len(held), 1 << 16):
             some = held[at : at + (1 << 16)]
@@ -575,29 +578,32 @@ def _index(found: pa.Table, ids: np.ndarray, everyone: np.ndarray, frequencies,
 _RESULT = "score double, evidence array<struct<example:bigint,cosine:double,toxic:int>>"
 
 
+def _queries(index: Index, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text with indexed terms: its place, their places, and their weights."""
+    for start, end, terms, of in _terms(texts):
+        text, number, counts = _counted_numbers(of, _numbers(index.terms, terms))
+        hit = number < len(index.terms)
+        squares = ((1.0 + np.log(counts[~hit])) * index.idf[number[~hit]]) ** 2
+        others = np.bincount(text[~hit], squares, end - start)
+        text, places, counts = text[hit], number[hit], counts[hit]
+        bounds = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else [0]
+        for a, b in pairwise(bounds):
+            yield start + text[a], places[a:b], index.vector(places[a:b], counts[a:b], others[text[a]])
+
+
 def _score_batch(model: Model, texts: pa.Array) -> pa.StructArray:
     index, share = model.index.value, model.share
     scores = np.full(len(texts), index.without_terms)
     evidence: list[list[dict]] = [[] for _ in range(len(texts))]
-    if len(index.terms):
-        for start, end, terms, of in _terms(texts):
-            text, number, counts = _counted_numbers(of, _numbers(index.terms, terms))
-            hit = number < len(index.terms)
-            squares = ((1.0 + np.log(counts[~hit])) * index.idf[number[~hit]]) ** 2
-            others = np.bincount(text[~hit], squares, end - start)
-            text, places, counts = text[hit], number[hit], counts[hit]
-            bounds = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else [0]
-            spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-            for at in range(0, len(spans), TOGETHER):
-                some = spans[at : at + TOGETHER]
-                queries = [(places[a:b], index.vector(places[a:b], counts[a:b], others[text[a]])) for a, b in some]
-                for (a, _), query, sums in zip(some, queries, index.common_sums(queries), strict=True):
-                    rows, cosines = index.nearest_given(*query, sums)
-                    scores[start + text[a]] = model.calibrated(index.vote(rows, cosines, share))
-                    evidence[start + text[a]] = [
-                        {"example": int(index.examples[r]), "cosine": float(c), "toxic": int(index.labels[r])}
-                        for r, c in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)
-                    ]
+    queries = _queries(index, texts) if len(index.terms) else iter(())
+    while some := list(islice(queries, TOGETHER)):
+        for (at, *query), sums in zip(some, index.common_sums([tuple(query) for _, *query in some]), strict=True):
+            rows, cosines = index.nearest_given(*query, sums)
+            scores[at] = model.calibrated(index.vote(rows, cosines, share))
+            evidence[at] = [
+                {"example": int(index.examples[r]), "cosine": float(c), "toxic": int(index.labels[r])}
+                for r, c in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)
+            ]
     kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
     return pa.StructArray.from_arrays([pa.array(scores), pa.array(evidence, kind)], ["score", "evidence"])
 

@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from creditweave.llm import decontaminate
 from creditweave.llm.decontaminate import leaks, without_leaks
@@ -90,3 +92,40 @@ def test_common_passage_in_many_documents(spark):
     passage = prose(9, 50)
     values = [f"{prose(i, 30)} {passage} {prose(i + 1, 30)}" for i in range(400)]
     assert found(spark, values, [(1, passage)]) == {(i, 1): 1.0 for i in range(400)}
+
+
+def test_word_hashes_take_stretches_and_keep_nothing():
+    """A word's hash is that of its bytes alone, wherever the word stands; memory does not grow with the text."""
+    power, wanted = 1, []
+    found = [b"word", b"", b"\xc3\xa9t\xc3\xa9", b"x" * (3 * decontaminate.STRETCH), b"", b"word"]
+    for word in found:
+        total, power = 0, 1
+        for byte in word:
+            total += (byte + 1) * power
+            power = power * int(decontaminate._ODD) % 2**64
+        wanted.append(total % 2**64)
+    found, wanted = found * 3, decontaminate._mix(np.array(wanted * 3, np.uint64))
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in found])])
+    data = np.frombuffer(b"".join(found), np.uint8)
+    assert np.array_equal(decontaminate.word_hashes(data, bounds), wanted)
+    assert not len(decontaminate.word_hashes(data[:0], bounds[:1]))
+    words = 400_000
+    data = np.frombuffer(b"seven77" * words, np.uint8)
+    tracemalloc.start()
+    held = decontaminate.word_hashes(data, np.arange(words + 1) * 7)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(set(held.tolist())) == 1 and len(held) == words
+    assert peak < 24 * words and kept < 9 * words + 100_000
+
+
+def test_search_holds_little_of_a_batch():
+    """A task's arrays are those of a piece of the batch, whatever the batch holds."""
+    column = pa.array([prose(n, 400) for n in range(1500)])
+    tracemalloc.start()
+    for *_, bounds in decontaminate._hashed(column):
+        assert len(bounds) > 1
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert column.nbytes > 3 << 20
+    assert peak < 12 << 20 and kept < 4 << 20

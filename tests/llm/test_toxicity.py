@@ -4,6 +4,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from creditweave.llm import toxicity
 from tests.llm.corpus import AWKWARD, LONG, documents, prose
@@ -248,3 +249,29 @@ def test_driver_holds_few_bytes_per_posting(spark, monkeypatch):
     tracemalloc.stop()
     assert len(index.examples) == 1500 and len(index.rows) > 1_000_000
     assert peak < 30 * len(index.rows)
+
+
+def test_scoring_holds_little_of_a_batch(spark, monkeypatch):
+    """A task's arrays are those of a piece of the batch, and queries of neighbouring pieces are multiplied together."""
+    rows, labels = corpus(spark, 300)
+    index, _ = toxicity.fit_index(documents(spark, rows), label_frame(spark, labels), toxicity.Fit(), "text", "doc_id", "toxic")
+    shared = type("Shared", (), {"value": index})
+    model = toxicity.Model(shared, 0.25, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    few = pa.array([text for _, text in rows] + [None, "", "..."])
+    want = toxicity._score_batch(model, few).to_pylist()
+    together = []
+    common_sums = toxicity.Index.common_sums
+    monkeypatch.setattr(toxicity, "PIECE", 1000)
+    monkeypatch.setattr(toxicity.Index, "common_sums", lambda self, queries: together.append(len(queries)) or common_sums(self, queries))
+    got = toxicity._score_batch(model, few).to_pylist()
+    assert together == [64, 64, 64, 64, 44]
+    assert np.allclose([x["score"] for x in got], [x["score"] for x in want], rtol=0, atol=1e-12)
+    assert [[e["example"] for e in x["evidence"]] for x in got] == [[e["example"] for e in x["evidence"]] for x in want]
+    monkeypatch.undo()
+    batch = pa.array([prose(n, 400) for n in range(1500)])
+    tracemalloc.start()
+    toxicity._score_batch(model, batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 3 << 20
+    assert peak < 30 << 20
